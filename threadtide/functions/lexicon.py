@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadtide.functions.binding import bind
+
 # Constants of the published rules.
 BOOST = 0.293
 DAMPING = [1.0, 0.95, 0.9]
@@ -79,34 +81,38 @@ def _hit_valence(tokens: Column, i: Column, lexicon: Lexicon, terms: list[str])
     return value * F.when(F.get(tokens, i - 1) == "least", NEGATION).otherwise(1.0)
 
 
-def add_sentiment(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
-    """Add neg/neu/pos/compound_sentiment; a text without tokens gets four zeros."""
+def sentiment(text: Column, lexicon: Lexicon) -> Column:
+    """Struct (neg, neu, pos, compound) of a text; a text without tokens gives four zeros."""
     terms = [t for t in lexicon.valence if t not in lexicon.boosters]
     lexicon = Lexicon({t: lexicon.valence[t] for t in terms}, lexicon.boosters, lexicon.negators)
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda t: F.length(t) > 1)
-    positions = F.array_compact(
-        F.transform(F.col("_tok"), lambda t, i: F.when(t.isin(terms), i))
-    )
+    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: F.length(t) > 1)
     total = lambda values, part: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + part(v))
-    scored = (
-        df.withColumn("_tok", tokens)
-        .withColumn("_val", F.transform(positions, lambda i: _hit_valence(F.col("_tok"), i, lexicon, terms)))
-        .withColumns(
-            {
-                "_sum": total(F.col("_val"), lambda v: v),
-                "_p": total(F.col("_val"), lambda v: F.when(v > 0, v + 1).otherwise(0.0)),
-                "_n": total(F.col("_val"), lambda v: F.when(v < 0, 1 - v).otherwise(0.0)),
-                "_u": F.size("_tok") - F.size(F.filter(F.col("_val"), lambda v: v != 0)),
-            }
+
+    def valences(tokens: Column) -> Column:
+        positions = F.array_compact(F.transform(tokens, lambda t, i: F.when(t.isin(terms), i)))
+        return F.transform(positions, lambda i: _hit_valence(tokens, i, lexicon, terms))
+
+    def sums(tokens: Column, values: Column) -> Column:
+        return F.struct(
+            total(values, lambda v: v).alias("s"),
+            total(values, lambda v: F.when(v > 0, v + 1).otherwise(0.0)).alias("p"),
+            total(values, lambda v: F.when(v < 0, 1 - v).otherwise(0.0)).alias("n"),
+            (F.size(tokens) - F.size(F.filter(values, lambda v: v != 0))).cast("double").alias("u"),
+        )
+
+    def shares(x: Column) -> Column:
+        size = x["p"] + x["n"] + x["u"]
+        share = lambda part: F.when(size > 0, F.round(part / size, 3)).otherwise(0.0)
+        return F.struct(
+            share(x["n"]).alias("neg"), share(x["u"]).alias("neu"), share(x["p"]).alias("pos"),
+            F.round(x["s"] / F.sqrt(x["s"] * x["s"] + ALPHA), 4).alias("compound"),
         )
-    )
-    size = F.col("_p") + F.col("_n") + F.col("_u")
-    share = lambda part: F.when(size > 0, F.round(part / size, 3)).otherwise(0.0)
-    return scored.withColumns(
-        {
-            "neg_sentiment": share(F.col("_n")),
-            "neu_sentiment": share(F.col("_u").cast("double")),
-            "pos_sentiment": share(F.col("_p")),
-            "compound_sentiment": F.round(F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + ALPHA), 4),
-        }
-    ).drop("_tok", "_val", "_sum", "_p", "_n", "_u")
+
+    return bind(split, lambda tok: bind(bind(valences(tok), lambda val: sums(tok, val)), shares))
+
+
+def add_sentiment(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+    """Add neg/neu/pos/compound_sentiment of a text column."""
+    scored = df.withColumn("_score", sentiment(F.col(text), lexicon))
+    parts = ["neg", "neu", "pos", "compound"]
+    return scored.withColumns({f"{p}_sentiment": F.col("_score")[p] for p in parts}).drop("_score")
