@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 INVALID_FORMAT = "Error: Invalid Timestamp Format"
@@ -12,6 +15,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def instant(value: Any) -> Column:
+    """A literal instant; a naive datetime is UTC whatever the machine's own zone."""
+    if isinstance(value, datetime) and value.tzinfo is None:
+        value = value.replace(tzinfo=timezone.utc)
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def from_epoch(c: Column | str) -> Column:
     """Epoch seconds (whole or fractional) to a timestamp."""
     return F.timestamp_seconds(_col(c))

@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -130,11 +131,9 @@ def tree_attribution(df: DataFrame, model, row_id: str, features: str = "feature
                     "shap": phi.ravel(),
                 })
 
-    slots = F.array(*[F.lit(s) for s in used])
-    whole = vector_to_array(features)
-    picked = F.transform(slots, lambda s: F.get(F.col("_all"), s))
+    sliced = VectorSlicer(inputCol=features, outputCol="_used", indices=used).transform(df)
     kind = dict(df.dtypes)[row_id]
-    rows = df.select(row_id, whole.alias("_all")).select(row_id, picked.alias("x"))
+    rows = sliced.select(row_id, vector_to_array("_used").alias("x"))
     return rows.mapInPandas(score, f"`{row_id}` {kind}, {ATTRIBUTION}"), _base_value(leaves)
 
 

@@ -3,7 +3,8 @@
 ``percentile`` keeps all distinct values of a group in one hash map. Here the first pass counts
 values per group and *magnitude bucket* (sign, power of two, 1/256 steps), which combines on the
 map side to a few thousand rows per group however large the group is. Those counts say in which
-bucket each wanted rank lies; the second pass looks at the rows of these buckets only.
+bucket each wanted rank lies; the second pass looks at the rows of these buckets only. Where such
+a bucket holds too many rows for one task, the first pass is repeated with finer steps.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from threadtide.functions.numeric import known
 from threadtide.operators import bounded
 
 STEPS = 256
+FINE_STEPS = 65_536
+# Rows of one bucket that a single task may rank.
+MAX_BUCKET_ROWS = 20_000_000
 EXPONENT_SHIFT = 1100
 LARGEST = 1.7976931348623157e308
 
 
-def magnitude_bucket(x: Column) -> Column:
+def magnitude_bucket(x: Column, steps: int = STEPS) -> Column:
     """A bucket number that never decreases as x grows."""
     size = F.least(F.abs(x), F.lit(LARGEST))
     power = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * STEPS)
-    step = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), step))
-    code = (power + EXPONENT_SHIFT) * STEPS + step + 1
+    step = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * steps)
+    step = F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
+    code = (power + EXPONENT_SHIFT) * steps + step + 1
     return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, code).otherwise(-code)
 
 
@@ -40,12 +44,14 @@ def _rank_names(i: int) -> tuple[str, str]:
     return f"_lo{i}", f"_hi{i}"
 
 
-def group_moments(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = ()) -> DataFrame:
+def group_moments(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = (), steps: int = STEPS
+) -> DataFrame:
     """One row per group: count, mean, std, min, max and, per prob, the buckets of its two ranks."""
     part = Window.partitionBy(*keys)
     per_bucket = (
         _values(df, keys, value)
-        .groupBy(*keys, magnitude_bucket(F.col("_v")).alias("_b"))
+        .groupBy(*keys, magnitude_bucket(F.col("_v"), steps).alias("_b"))
         .agg(
             F.count("_v").alias("_n"),
             F.avg("_v").alias("_m"),
@@ -76,12 +82,20 @@ def group_moments(df: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
                     F.col("_b").alias("b"),
                     (rank - (F.col("_upto") - F.col("_n"))).cast("bigint").alias("rank"),
                     (place - F.floor(place)).alias("frac"),
+                    F.col("_n").alias("size"),
                 ),
             )
             aggs.append(F.min(reached).alias(name))
     return per_bucket.groupBy(*keys).agg(*aggs)
 
 
+def _fullest_bucket(stats: DataFrame, small: bool, n_probs: int) -> int:
+    """Rows of the largest bucket that holds a wanted rank; local rows are read without a job."""
+    sizes = F.greatest(*[F.col(name)["size"] for i in range(n_probs) for name in _rank_names(i)], F.lit(0))
+    table = stats.select(sizes.alias("n")) if small else stats.agg(F.max(sizes).alias("n"))
+    return max((n or 0 for n in table.toArrow().to_pydict()["n"]), default=0)
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,6 +103,7 @@ def grouped_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     max_local_groups: int = bounded.MAX_ROWS,
+    max_bucket_rows: int = MAX_BUCKET_ROWS,
 ) -> DataFrame:
     """Per group: count, mean, std, min, max and the exact quantiles (linear interpolation).
 
@@ -97,10 +112,14 @@ def grouped_quantiles(
     in the second pass; beyond that the second pass is a shuffle join on (keys, bucket).
     """
     keys = list(keys)
+    steps = STEPS
     stats, small = bounded.materialize_small(group_moments(df, keys, value, probs), max_local_groups)
     base = ["count", "mean", "std", "min", "max"]
     if not probs:
         return stats.select(*keys, *base)
+    if _fullest_bucket(stats, small, len(probs)) > max_bucket_rows:
+        steps = FINE_STEPS
+        stats, small = bounded.materialize_small(group_moments(df, keys, value, probs, steps), max_local_groups)
     hint = F.broadcast if small else (lambda side: side)
 
     ranks = stats.select(
@@ -125,7 +144,7 @@ def grouped_quantiles(
     place = [*keys, "_b"]
     candidates = (
         _values(df, keys, value)
-        .withColumn("_b", magnitude_bucket(F.col("_v")))
+        .withColumn("_b", magnitude_bucket(F.col("_v"), steps))
         .join(hint(wanted), place)
         .groupBy(*place, "_v")
         .agg(F.count("_v").alias("_n"))

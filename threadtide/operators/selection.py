@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from threadtide.functions.temporal import instant
 from threadtide.functions.text import is_blank, trim_unicode
 from threadtide.schema import DELETED_AUTHOR
 
@@ -36,7 +37,7 @@ def only_values(df: DataFrame, column: str, values: Sequence | None) -> DataFram
 
 def in_window(df: DataFrame, created: str, start: Any, end: Any) -> DataFrame:
     """Rows created in [start, end]; both ends included."""
-    return df.where(F.col(created).between(F.lit(start), F.lit(end)))
+    return df.where(F.col(created).between(instant(start), instant(end)))
 
 
 def two_groups(df: DataFrame, group: str, value: str, first: Any, second: Any) -> DataFrame:

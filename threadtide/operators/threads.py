@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadtide.functions.binding import bind
+from threadtide.functions.temporal import instant
 from threadtide.operators import bounded
 
 POST_LIMIT = 1000
@@ -31,7 +32,7 @@ def search_posts(posts: DataFrame, query: str, texts: Sequence[str], score: str,
 
 def top_since(posts: DataFrame, created: str, since, score: str, key: str, limit: int = POST_LIMIT) -> DataFrame:
     """Best-scored posts created after an instant, no text match."""
-    return posts.where(F.col(created) > F.lit(since)).orderBy(F.desc(score), key).limit(limit)
+    return posts.where(F.col(created) > instant(since)).orderBy(F.desc(score), key).limit(limit)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -76,16 +77,16 @@ def assign_events(df: DataFrame, created: str, events: DataFrame, texts: Sequenc
     With ``texts`` the row must also hold the event's query words. A few events are a literal in
     the plan (map-only); many events become an equi-join on the day plus the range condition.
     """
-    instant = F.col(created).cast("timestamp")
+    at = F.col(created).cast("timestamp")
     match = (lambda q: matches_query(q, *[F.col(t) for t in texts])) if texts else (lambda q: F.lit(True))
     inline = _inline_events(events)
     if inline is not None:
-        return _pair(df, inline, lambda e: instant.between(e["start_ts"], e["end_ts"]) & match(e["query"]))
+        return _pair(df, inline, lambda e: at.between(e["start_ts"], e["end_ts"]) & match(e["query"]))
     days = events.withColumn(
         "_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts")))
     )
-    joined = df.withColumn("_day", F.to_date(instant)).join(days, "_day")
-    return joined.where(instant.between(F.col("start_ts"), F.col("end_ts")) & match(F.col("query"))).drop("_day")
+    joined = df.withColumn("_day", F.to_date(at)).join(days, "_day")
+    return joined.where(at.between(F.col("start_ts"), F.col("end_ts")) & match(F.col("query"))).drop("_day")
 
 
 def pair_with_events(df: DataFrame, events: DataFrame, when: Callable[[Column], Column] | None = None) -> DataFrame:

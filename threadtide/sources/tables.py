@@ -25,19 +25,11 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType = RAW, multili
 
 
 def write_processed(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replace the processed table. The path must not be one that df reads."""
-    if any(f.rstrip("/").startswith(_qualified(df.sparkSession, path).rstrip("/") + "/") for f in df.inputFiles()):
-        raise ValueError(f"{path} is read by the plan that would replace it")
+    """Replace the processed table. Spark refuses a path that df itself reads."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return fs.makeQualified(hadoop).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
-
-
 def read_processed(spark: SparkSession, path: str, schema: T.StructType | None = PROCESSED) -> DataFrame:
     """All rows of the processed table; no rows where it is missing."""
     try:
@@ -65,9 +57,9 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out an input of fewer partitions than cores ahead of heavy per-row text work.
+    """Even out a scan of fewer partitions than cores ahead of heavy per-row text work.
 
-    Inputs with enough partitions (any large table) are left alone, without a shuffle.
+    Scans with enough partitions (any large table) are left alone, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
