@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,8 @@ def write_raw(df: DataFrame, path: str, partition: str = "event_name") -> bool:
     """Land collected rows as JSON, one folder per event, timestamps as ISO text; skipped when empty."""
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").partitionBy(partition).json(path)
+    writer = df.write.mode("overwrite").partitionBy(partition)
+    writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX").json(path)
     return True
 
 
@@ -25,11 +27,24 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType = RAW, multili
 
 
 def write_processed(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replace the processed table. Spark refuses a path that df itself reads."""
+    """Replace the processed table. A path that df itself reads is refused: it would be emptied first."""
+    target = _qualified(df.sparkSession, path)
+    if any(_one_slash(f).startswith(target + "/") for f in df.inputFiles()):
+        raise ValueError(f"{path} is read by the plan that would replace it")
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def _one_slash(path: str) -> str:
+    return re.sub(r"^(\w+):/+", r"\1:/", path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return _one_slash(fs.makeQualified(where).toString())
+
+
 def read_processed(spark: SparkSession, path: str, schema: T.StructType | None = PROCESSED) -> DataFrame:
     """All rows of the processed table; no rows where it is missing."""
     try:
