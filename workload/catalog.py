@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from workload import collect, features, modelling, tables  # noqa: F401
+from workload import collect, features, jobs, modelling, tables  # noqa: F401
