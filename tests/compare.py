@@ -38,17 +38,21 @@ def spark_rows(df):
     return _rows(df.columns, [tuple(r) for r in df.collect()])
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def oracle_rows(con, sql):
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
-    return names, _rows(names, cur.fetchall())
+    return dict((d[0], str(d[1])) for d in cur.description), _rows(names, cur.fetchall())
 
 
 def difference(df, con, sql: str) -> str | None:
     """What differs between a query and its oracle, or None."""
-    names, want = oracle_rows(con, sql)
-    if sorted(names) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} != {sorted(names)}"
+    kinds, want = oracle_rows(con, sql)
+    ours = {c: TYPES.get(t, t) for c, t in df.dtypes}
+    if ours != kinds:
+        return f"schema {sorted(set(ours.items()) ^ set(kinds.items()))}"
     got = spark_rows(df)
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"

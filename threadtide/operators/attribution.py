@@ -63,38 +63,51 @@ def _leaves(nodes: Sequence[dict], weights: Sequence[float]) -> list[tuple[float
     return out
 
 
-def _satisfied(x: np.ndarray, splits) -> np.ndarray:
-    ok = np.ones(len(x), dtype=bool)
-    for continuous, values, goes_left in splits:
-        left = x <= values[0] if continuous else np.isin(x, values)
-        ok &= left if goes_left else ~left
-    return ok
-
-
-def _attribute(x: np.ndarray, place: dict[int, int], leaves) -> np.ndarray:
-    """Shapley values of a batch: rows x used features."""
-    phi = np.zeros_like(x)
-    seen: dict = {}
-    for value, terms in leaves:
-        if not terms or value == 0.0:
-            continue
-        ones, zeros = [], []
-        for slot, share, splits in terms:
-            key = (slot, splits)
-            if key not in seen:
-                seen[key] = _satisfied(x[:, place[slot]], splits).astype("float64")
-            ones.append(seen[key])
-            zeros.append(share)
-        points, weight = np.polynomial.legendre.leggauss((len(terms) + 1) // 2)
-        inner = [0.0] * len(terms)
-        for t, w in zip((points + 1) / 2, weight / 2):
-            factors = [o * t + z * (1 - t) for o, z in zip(ones, zeros)]
-            whole = np.prod(factors, axis=0)
-            for j, f in enumerate(factors):
-                inner[j] = inner[j] + w * whole / f
-        for (slot, _, _), o, z, integral in zip(terms, ones, zeros, inner):
-            phi[:, place[slot]] += value * (o - z) * integral
-    return phi
+def _batch_scorer(shared, used: Sequence[int], row_id: str):
+    """The mapInPandas function. Its helpers are nested, so it travels to the workers whole."""
+    place = {slot: i for i, slot in enumerate(used)}
+
+    def satisfied(x: np.ndarray, splits) -> np.ndarray:
+        ok = np.ones(len(x), dtype=bool)
+        for continuous, values, goes_left in splits:
+            left = x <= values[0] if continuous else np.isin(x, values)
+            ok &= left if goes_left else ~left
+        return ok
+
+    def attribute(x: np.ndarray, leaves) -> np.ndarray:
+        phi = np.zeros_like(x)
+        seen: dict = {}
+        for value, terms in leaves:
+            if not terms or value == 0.0:
+                continue
+            for slot, _, splits in terms:
+                if (slot, splits) not in seen:
+                    seen[slot, splits] = satisfied(x[:, place[slot]], splits).astype("float64")
+            ones = [seen[slot, splits] for slot, _, splits in terms]
+            points, weight = np.polynomial.legendre.leggauss((len(terms) + 1) // 2)
+            inner = [0.0] * len(terms)
+            for t, w in zip((points + 1) / 2, weight / 2):
+                factors = [o * t + share * (1 - t) for o, (_, share, _) in zip(ones, terms)]
+                whole = w * np.prod(factors, axis=0)
+                for j, factor in enumerate(factors):
+                    inner[j] = inner[j] + whole / factor
+            for (slot, share, _), o, integral in zip(terms, ones, inner):
+                phi[:, place[slot]] += value * (o - share) * integral
+        return phi
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.vstack(batch["x"].to_numpy())
+                phi = attribute(x, shared.value)
+                yield pd.DataFrame({
+                    row_id: np.repeat(batch[row_id].to_numpy(), len(used)),
+                    "slot": np.tile(np.array(used, dtype="int32"), len(batch)),
+                    "value": x.ravel(),
+                    "shap": phi.ravel(),
+                })
+
+    return score
 
 
 def _base_value(leaves) -> float:
@@ -116,21 +129,7 @@ def tree_attribution(df: DataFrame, model, row_id: str, features: str = "feature
         return spark.createDataFrame([], df.select(row_id).schema).select(
             row_id, F.lit(0).alias("slot"), F.lit(0.0).alias("value"), F.lit(0.0).alias("shap")
         ), _base_value(leaves)
-    place = {slot: i for i, slot in enumerate(used)}
-    shared = spark.sparkContext.broadcast(leaves)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.vstack(batch["x"].to_numpy())
-                phi = _attribute(x, place, shared.value)
-                yield pd.DataFrame({
-                    row_id: np.repeat(batch[row_id].to_numpy(), len(used)),
-                    "slot": np.tile(np.array(used, dtype="int32"), len(batch)),
-                    "value": x.ravel(),
-                    "shap": phi.ravel(),
-                })
-
+    score = _batch_scorer(spark.sparkContext.broadcast(leaves), used, row_id)
     sliced = VectorSlicer(inputCol=features, outputCol="_used", indices=used).transform(df)
     kind = dict(df.dtypes)[row_id]
     rows = sliced.select(row_id, vector_to_array("_used").alias("x"))

@@ -142,14 +142,11 @@ def grouped_quantiles(
     )
     wanted = ranks.select(*keys, "_b").distinct()
     place = [*keys, "_b"]
-    candidates = (
-        _values(df, keys, value)
-        .withColumn("_b", magnitude_bucket(F.col("_v"), steps))
-        .join(hint(wanted), place)
-        .groupBy(*place, "_v")
-        .agg(F.count("_v").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*place).orderBy("_v")))
-    )
+    rows = _values(df, keys, value).withColumn("_b", magnitude_bucket(F.col("_v"), steps))
+    count = lambda d: d.groupBy(*place, "_v").agg(F.count("_v").alias("_n"))
+    # a broadcast filters before the shuffle; a shuffle join meets rows already combined per value
+    counted = count(rows.join(hint(wanted), place)) if small else count(rows).join(wanted, place)
+    candidates = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*place).orderBy("_v")))
     picked = candidates.join(hint(ranks), place).where(
         (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
     )

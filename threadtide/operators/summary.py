@@ -167,19 +167,28 @@ def profile(df: DataFrame) -> DataFrame:
     return out.na.fill(0, subset=["count", "unique"])
 
 
-def cleaning_audit(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Rows in, out and removed per step, in one pass; a row fails at its first false flag."""
+def cleaning_audit(
+    df: DataFrame, steps: Sequence[tuple[str, Column]], before: tuple[str, Column] | None = None
+) -> DataFrame:
+    """Rows in, out and removed per step, in one pass; a row fails at its first false flag.
+
+    ``before`` names the step that produced df and gives the number of rows that went into it.
+    """
     alive = F.lit(True)
     aggs = [F.count(F.lit(1)).alias("_0")]
     for i, (_, keep) in enumerate(steps, start=1):
         alive = alive & F.coalesce(keep, F.lit(False))
         aggs.append(F.count_if(alive).alias(f"_{i}"))
+    counts = [F.col(f"_{i}") for i in range(len(steps) + 1)]
+    names = [name for name, _ in steps]
+    if before:
+        names, counts = [before[0], *names], [before[1], *counts]
+    first = 0 if before else 1
     rows = [
         F.struct(
-            F.lit(i).alias("step_no"), F.lit(name).alias("step"),
-            F.col(f"_{i - 1}").alias("rows_in"), F.col(f"_{i}").alias("rows_out"),
-            (F.col(f"_{i - 1}") - F.col(f"_{i}")).alias("removed"),
+            F.lit(first + i).alias("step_no"), F.lit(name).alias("step"),
+            counts[i].alias("rows_in"), counts[i + 1].alias("rows_out"), (counts[i] - counts[i + 1]).alias("removed"),
         )
-        for i, (name, _) in enumerate(steps, start=1)
+        for i, name in enumerate(names)
     ]
     return df.agg(*aggs).select(F.inline(F.array(*rows)))

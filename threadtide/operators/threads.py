@@ -58,12 +58,17 @@ def merge_listings(listings: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
 
 def _inline_events(events: DataFrame) -> Column | None:
     """The event rows as one literal array of structs, or None if there are too many."""
-    ts = [f.name for f in events.schema.fields if f.dataType.typeName() == "timestamp"]
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    ts = [name for name, kind in kinds.items() if kind.typeName() == "timestamp"]
     plain = events.select(*[F.unix_micros(c).alias(c) if c in ts else c for c in events.columns])
     rows = plain.limit(MAX_INLINE_EVENTS + 1).toArrow().to_pylist()
     if len(rows) > MAX_INLINE_EVENTS:
         return None
-    literal = lambda name, v: (F.timestamp_micros(F.lit(v)) if name in ts else F.lit(v)).alias(name)
+
+    def literal(name: str, value) -> Column:
+        typed = F.timestamp_micros(F.lit(value)) if name in ts else F.lit(value).cast(kinds[name])
+        return typed.alias(name)
+
     return F.array(*[F.struct(*[literal(k, v) for k, v in row.items()]) for row in rows])
 
 

@@ -59,12 +59,7 @@ def audit(raw: DataFrame, words: Dictionaries) -> DataFrame:
         ("empty processed body", text.preprocess_text("comment_body", words.stop_words, words.lemmas) != ""),
     ]
     rows_in = raw.agg(F.count(F.lit(1)).alias("n")).scalar()
-    table = cleaning_audit(unique, steps)
-    duplicates = unique.agg(F.count(F.lit(1)).alias("rows_out")).select(
-        F.lit(0).alias("step_no"), F.lit("duplicate comment").alias("step"), rows_in.alias("rows_in"),
-        "rows_out", (rows_in - F.col("rows_out")).alias("removed"),
-    )
-    return duplicates.unionByName(table)
+    return cleaning_audit(unique, steps, before=("duplicate comment", rows_in))
 
 
 def row_features(words: Dictionaries) -> dict[str, Column]:

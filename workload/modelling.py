@@ -37,7 +37,7 @@ def _(spark, sf_dir):
 
 def model_rows(spark, sf_dir):
     """Line items with their part: numbers, categories and flags for the models."""
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lines, part = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("deep", F.col("l_discount") > 0.05)
     # line items repeat their keys, so the row id is a hash over the whole row
     return rows.withColumn("row_id", F.xxhash64(*[F.col(c) for c in lines.columns])).withColumn(
@@ -120,7 +120,7 @@ TREES = {"maxIter": 10, "maxDepth": 4}
 
 
 def _boosted(spark, sf_dir):
-    rows = model_rows(spark, sf_dir).select("row_id", "p_retailprice", *[c for part in ROLES.values() for c in part])
+    rows = model_rows(spark, sf_dir).select("row_id", "p_retailprice", *[c for part in ROLES.values() for c in part]).persist()
     feats = features.fit_features(rows, **ROLES)
     vectors = feats.transform(rows).select("row_id", "p_retailprice", "features").persist()
     return feats, vectors, models.boosted_trees("p_retailprice", **TREES).fit(vectors)
