@@ -15,6 +15,7 @@ MAX_POSTS = 15
 COMMENT_LIMIT = 50
 # Up to this many event windows are carried in the plan as a literal array.
 MAX_INLINE_EVENTS = 256
+MIN_BUCKET_SECONDS = 60
 
 
 def matches_query(query: Column | str, *texts: Column) -> Column:
@@ -80,18 +81,23 @@ def assign_events(df: DataFrame, created: str, events: DataFrame, texts: Sequenc
     """Pair each row with every event whose [start_ts, end_ts] holds its time (1:N).
 
     With ``texts`` the row must also hold the event's query words. A few events are a literal in
-    the plan (map-only); many events become an equi-join on the day plus the range condition.
+    the plan (map-only). Many events become an equi-join on time buckets about as long as an
+    average window, so that the pairs tried stay close to the pairs found.
     """
     at = F.col(created).cast("timestamp")
     match = (lambda q: matches_query(q, *[F.col(t) for t in texts])) if texts else (lambda q: F.lit(True))
     inline = _inline_events(events)
     if inline is not None:
         return _pair(df, inline, lambda e: at.between(e["start_ts"], e["end_ts"]) & match(e["query"]))
-    days = events.withColumn(
-        "_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts")))
+    seconds = F.unix_seconds("end_ts") - F.unix_seconds("start_ts")
+    mean = events.agg(F.avg(seconds).alias("m")).first()["m"] or 0
+    width = max(MIN_BUCKET_SECONDS, int(mean))
+    bucket = lambda t: F.floor(F.unix_seconds(t) / F.lit(width))
+    spans = events.where("start_ts <= end_ts").withColumn(
+        "_bucket", F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("end_ts"))))
     )
-    joined = df.withColumn("_day", F.to_date(at)).join(days, "_day")
-    return joined.where(at.between(F.col("start_ts"), F.col("end_ts")) & match(F.col("query"))).drop("_day")
+    joined = df.withColumn("_bucket", bucket(at)).join(spans, "_bucket")
+    return joined.where(at.between(F.col("start_ts"), F.col("end_ts")) & match(F.col("query"))).drop("_bucket")
 
 
 def pair_with_events(df: DataFrame, events: DataFrame, when: Callable[[Column], Column] | None = None) -> DataFrame:

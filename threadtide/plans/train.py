@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from threadtide.operators import attribution, models
-from threadtide.operators.features import default_roles, fit_features, leaking
+from threadtide.operators.features import default_roles, leaking
 from threadtide.operators.splits import split_flag, with_fold
 from threadtide.operators.summary import require_text
 from threadtide.schema import TARGET
@@ -28,7 +28,6 @@ class Trained:
     base_value: float = 0.0
     attribution: DataFrame | None = None
     candidates: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
 
 def train(
@@ -79,7 +78,7 @@ def train(
     tuned = tuned_fit(searched)
     evaluate("boosted_tuned", tuned, tuned_fit)
 
-    names = fit_features(searched, **roles).names
+    names = tuned.feature_names
     regressor = tuned.stages[-1]
     scored = tuned.transform(test_rows)
     values, base = attribution.tree_attribution(scored, regressor, row_id)

@@ -255,10 +255,10 @@ def _(spark, sf_dir):
     return rows.select("event_name", "post_id")
 
 
-@query("j02_event_assignment_by_day", """SELECT s.event_id AS window_id, e.event_id FROM events e JOIN events s
+@query("j02_event_assignment_many", """SELECT s.event_id AS window_id, e.event_id FROM events e JOIN events s
   ON s.event_type = 'purchase' AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 30 MINUTE""")
 def _(spark, sf_dir):
-    # thousands of windows: the equi-join on the day with the range condition
+    # thousands of windows: the equi-join on time buckets with the range condition
     rows = views.activity(spark, sf_dir)
     windows = rows.where("event_type = 'purchase'").select(
         F.col("event_id").alias("window_id"), F.col("ts").alias("start_ts"),

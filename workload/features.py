@@ -8,6 +8,7 @@ from threadtide.functions import numeric, temporal, text
 from threadtide.functions.lexicon import Lexicon, add_sentiment
 from threadtide.functions.text import STOP_WORDS
 from threadtide.operators import threads
+from threadtide.operators.lemmas import lemmatize_with_table
 from threadtide.sources.events import event_dimension
 from threadtide.sources.tables import spread
 from workload import views
@@ -79,6 +80,15 @@ def _(spark, sf_dir):
     return rows.select("doc_id", F.array_join(lemmas, " ").alias("p"))
 
 
+@query("t02_lemma_join", f"""SELECT doc_id, md5(array_to_string(list_transform(string_split({clean_sql('text')}, ' '),
+  lambda t: CASE t WHEN 'the' THEN 'THE' WHEN 'thing' THEN 'stuff' WHEN 'de' THEN 'of' ELSE t END), ' ')) AS digest FROM documents""")
+def _(spark, sf_dir):
+    lemmas = spark.createDataFrame([("the", "THE"), ("thing", "stuff"), ("de", "of"), ("de", "of")], "token string, lemma string")
+    rows = docs(spark, sf_dir).withColumn("c", text.clean_text("text"))
+    out = lemmatize_with_table(rows, "doc_id", F.split("c", " "), lemmas, "p")
+    return out.select("doc_id", F.md5("p").alias("digest"))
+
+
 LEXICON = Lexicon(
     {"worthless": -1.9, "stupid": -2.4, "thing": 1.2, "license": 0.4, "good": 1.9, "then": -0.3, "with": 0.6, "are": 0.9},
     boosters={"the": 1, "of": -1, "for": -1, "very": 1},
