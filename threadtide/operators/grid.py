@@ -6,20 +6,29 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from threadtide.operators.bounded import materialize_small
 
-def densify(table: DataFrame, grid: Mapping[str, Sequence | None]) -> DataFrame:
+
+def densify(table: DataFrame, grid: Mapping[str, Sequence | None], observed_in: DataFrame | None = None) -> DataFrame:
     """Left-join a grouped table onto the full grid of its keys.
 
-    A key with listed values spans that list; a key mapped to None spans the values observed in
-    the (already grouped) table. The grid is exploded from arrays, so the plan has no cross join.
+    A key with listed values spans that list; a key mapped to None spans the observed values. The
+    grid is exploded from arrays, so the plan has no cross join.
+
+    Observed values come from observed_in, any cheap table with the same groups. Without one they
+    come from the table, which is then kept as a local relation where it is small: otherwise the
+    work behind it would run once for the grid and once for the cells.
     """
     keys = list(grid)
     observed = [k for k, values in grid.items() if values is None]
     spark = table.sparkSession
     if observed:
-        base = table.select(observed[0]).distinct()
+        if observed_in is None:
+            table, _ = materialize_small(table)
+            observed_in = table
+        base = observed_in.select(observed[0]).distinct()
         for key in observed[1:]:
-            values = table.agg(F.collect_set(key)).scalar()
+            values = observed_in.agg(F.collect_set(key)).scalar()
             base = base.withColumn(key, F.explode(values))
     else:
         base = spark.range(1).select()

@@ -10,6 +10,7 @@ a bucket holds too many rows for one task, the first pass is repeated with finer
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -96,30 +97,52 @@ def _fullest_bucket(stats: DataFrame, small: bool, n_probs: int) -> int:
     return max((n or 0 for n in table.toArrow().to_pydict()["n"]), default=0)
 
 
-def grouped_quantiles(
+@dataclass(frozen=True)
+class Located:
+    """What the first pass found: moments and rank places per group, and how finely it looked."""
+
+    stats: DataFrame
+    small: bool
+    steps: int
+
+
+def locate(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    names: Sequence[str],
     max_local_groups: int = bounded.MAX_ROWS,
     max_bucket_rows: int = MAX_BUCKET_ROWS,
+) -> Located:
+    """Run the first pass. Up to max_local_groups group rows are kept as a local relation."""
+    stats, small = bounded.materialize_small(group_moments(df, keys, value, probs), max_local_groups)
+    if probs and _fullest_bucket(stats, small, len(probs)) > max_bucket_rows:
+        fine = group_moments(df, keys, value, probs, FINE_STEPS)
+        return Located(*bounded.materialize_small(fine, max_local_groups), FINE_STEPS)
+    return Located(stats, small, STEPS)
+
+
+def grouped_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    located: Located | None = None,
+    **limits: int,
 ) -> DataFrame:
     """Per group: count, mean, std, min, max and the exact quantiles (linear interpolation).
 
     Rows with a null key or a null/NaN value are left out. ``std`` is the sample deviation, null
-    for a single row. Up to max_local_groups group rows are kept as a local relation and broadcast
-    in the second pass; beyond that the second pass is a shuffle join on (keys, bucket).
+    for a single row. Few groups are broadcast into the second pass; with more groups than the
+    limit it is a shuffle join on (keys, bucket).
     """
     keys = list(keys)
-    steps = STEPS
-    stats, small = bounded.materialize_small(group_moments(df, keys, value, probs), max_local_groups)
+    found = located or locate(df, keys, value, probs, **limits)
+    stats, small = found.stats, found.small
     base = ["count", "mean", "std", "min", "max"]
     if not probs:
         return stats.select(*keys, *base)
-    if _fullest_bucket(stats, small, len(probs)) > max_bucket_rows:
-        steps = FINE_STEPS
-        stats, small = bounded.materialize_small(group_moments(df, keys, value, probs, steps), max_local_groups)
     hint = F.broadcast if small else (lambda side: side)
 
     ranks = stats.select(
@@ -140,12 +163,12 @@ def grouped_quantiles(
             )
         ),
     )
-    wanted = ranks.select(*keys, "_b").distinct()
     place = [*keys, "_b"]
-    rows = _values(df, keys, value).withColumn("_b", magnitude_bucket(F.col("_v"), steps))
+    wanted = hint(ranks.select(*place))
+    rows = _values(df, keys, value).withColumn("_b", magnitude_bucket(F.col("_v"), found.steps))
     count = lambda d: d.groupBy(*place, "_v").agg(F.count("_v").alias("_n"))
     # a broadcast filters before the shuffle; a shuffle join meets rows already combined per value
-    counted = count(rows.join(hint(wanted), place)) if small else count(rows).join(wanted, place)
+    counted = count(rows.join(wanted, place, "left_semi")) if small else count(rows).join(wanted, place, "left_semi")
     candidates = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*place).orderBy("_v")))
     picked = candidates.join(hint(ranks), place).where(
         (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))

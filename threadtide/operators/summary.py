@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from threadtide.functions.temporal import weekday_name
 from threadtide.functions.numeric import known
 from threadtide.operators.grid import densify
-from threadtide.operators.quantiles import grouped_quantiles
+from threadtide.operators.quantiles import Located, grouped_quantiles, locate
 from threadtide.schema import PERIODS, WEEKDAYS
 
 
@@ -20,16 +20,17 @@ def with_bounds(df: DataFrame) -> DataFrame:
     )
 
 
-def _median_table(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
-    return grouped_quantiles(df, keys, metric, [0.5], ["median"])
+def _median_table(df: DataFrame, keys: Sequence[str], metric: str, located: Located | None = None) -> DataFrame:
+    return grouped_quantiles(df, keys, metric, [0.5], ["median"], located)
 
 
 def _dense_summary(df: DataFrame, metric: str, grid: Mapping[str, Sequence | None]) -> DataFrame:
     keys = list(grid)
-    table = with_bounds(_median_table(df, keys, metric)).select(
+    found = locate(df, keys, metric, [0.5])
+    table = with_bounds(_median_table(df, keys, metric, found)).select(
         *keys, "mean", "std", "median", "count", "lower_bound", "upper_bound"
     )
-    return densify(table, grid)
+    return densify(table, grid, observed_in=found.stats)
 
 
 def summary_by_period_and_event(df: DataFrame, metric: str, period: str = "time_period", event: str = "event_name") -> DataFrame:

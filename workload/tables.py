@@ -335,12 +335,12 @@ def _(spark, sf_dir):
     return hypothesis.t_test(df, "event_type", "value", "click", "error").select("status", "p_value", "interpretation")
 
 
-BATTERY = [("t_test", "event_name", "comment_score", "E1", "E2"), ("anova", "time_period", "comment_score"),
+BATTERY = [("t_test", "time_period", "comment_score", "Before Event", "After Event"), ("anova", "time_period", "comment_score"),
            ("anova", "post_type", "comment_score"), ("chi2", "time_period", "post_type")]
 
 
 @query("q06_battery", f"""WITH {LABELLED_SQL}
-SELECT 0 AS test_no, 't_test' AS test, 'completed' AS status, 0.0::DOUBLE AS statistic
+SELECT 0 AS test_no, 't_test' AS test, status, t_statistic AS statistic FROM ({WELCH_SQL.format(t="labelled", g="time_period", v="value", a="Before Event", b="After Event")})
 UNION ALL SELECT 1, 'anova', status, f_statistic FROM ({ANOVA_SQL.format(t="labelled", g="time_period", v="value")})
 UNION ALL SELECT 2, 'anova', status, f_statistic FROM ({ANOVA_SQL.format(t="labelled", g="event_type", v="value")})
 UNION ALL SELECT 3, 'chi2', 'completed', (SELECT round(sum((observed - expected) ** 2 / expected), 6) FROM
@@ -349,4 +349,4 @@ UNION ALL SELECT 3, 'chi2', 'completed', (SELECT round(sum((observed - expected)
      / (SELECT sum(n) FROM o) AS expected FROM (SELECT DISTINCT time_period FROM o) ra CROSS JOIN (SELECT DISTINCT event_type FROM o) cb LEFT JOIN o USING (time_period, event_type)))""")
 def _(spark, sf_dir):
     rows = reports.run_battery(_report_rows(spark, sf_dir), BATTERY)
-    return rows.select("test_no", "test", "status", F.abs(F.round("statistic", 6)).alias("statistic"))
+    return rows.select("test_no", "test", "status", F.round("statistic", 6).alias("statistic"))
