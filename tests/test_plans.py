@@ -122,7 +122,8 @@ def test_report_and_battery(spark):
     assert len(out) == 32
     assert out["dist_comment_score_summary"].first()["count"] == 300
     assert sum(r["count"] for r in out["time_periods_counts"].collect()) == 300
-    assert "time_periods_table" not in report.report(df.drop("time_period"))
+    few = report.report(df.select("event_name", "word_count", "time_period").limit(20))
+    assert "time_periods_table" in few and "comment_score_by_weekday" not in few and "dist_comment_score_summary" not in few
     tests = report.run_battery(df, report.standard_battery(["A", "B", "C", "D"])).orderBy("test_no").collect()
     assert [t["test"] for t in tests] == ["t_test"] * 4 + ["anova"] * 4 + ["chi2"] * 2
     assert all(t["status"] == "completed" for t in tests)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threadtide.functions.temporal import weekday_name
 from threadtide.functions.numeric import known
+from threadtide.functions.text import is_blank
 from threadtide.operators.grid import densify
 from threadtide.operators.quantiles import Located, grouped_quantiles, locate
 from threadtide.schema import PERIODS, WEEKDAYS
@@ -95,7 +96,7 @@ def keyword_share(df: DataFrame, keyword: str, columns: Sequence, event: str = "
     rows = df.dropna(subset=[keyword, event]).where(F.col(event).isin(list(columns)))
     counts = [F.count_if(F.col(event) == c).alias(f"_n{i}") for i, c in enumerate(columns)]
     table = rows.groupBy(keyword).agg(*counts)
-    totals = rows.agg(F.struct(*counts)).scalar()
+    totals = table.agg(F.struct(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(columns))])).scalar()
     share = lambda i: F.coalesce(F.try_divide(F.lit(100.0) * F.col(f"_n{i}"), totals[f"_n{i}"]), F.lit(0.0))
     return table.select(keyword, *[share(i).alias(str(c)) for i, c in enumerate(columns)])
 
@@ -126,12 +127,12 @@ def class_counts(df: DataFrame, column: str, categories: Sequence[str]) -> DataF
 
 
 def nonempty_texts(df: DataFrame, text: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(text).rlike(r"(?U)\S")).alias("non_empty"), F.count(F.lit(1)).alias("rows"))
+    return df.agg(F.count_if(~is_blank(text)).alias("non_empty"), F.count(F.lit(1)).alias("rows"))
 
 
 def require_text(df: DataFrame, text: str) -> DataFrame:
     """df itself, after checking that at least one text has content."""
-    if df.where(F.col(text).rlike(r"(?U)\S")).isEmpty():
+    if df.where(~is_blank(text)).isEmpty():
         raise ValueError(f"no non-empty text in {text}")
     return df
 

@@ -15,9 +15,9 @@ from workload import views
 from workload.registry import query
 from workload.views import EVENTS_SQL, LABELLED_SQL, rounded, table
 
-# Characters that Java counts as white space under Unicode rules, for the oracles' RE2 classes.
-WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-NOT_WS = r"[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# White space under Unicode rules, for the oracles' RE2 classes.
+WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NOT_WS = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LETTER = r"\p{L}\p{M}\p{N}\p{Pc}"
 PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
