@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadtide.functions.binding import bind
-from threadtide.functions.text import WHITE
+from threadtide.functions.text import SPACES
 
 # Constants of the published rules.
 BOOST = 0.293
@@ -86,7 +86,7 @@ def sentiment(text: Column, lexicon: Lexicon) -> Column:
     """Struct (neg, neu, pos, compound) of a text; a text without tokens gives four zeros."""
     terms = [t for t in lexicon.valence if t not in lexicon.boosters]
     lexicon = Lexicon({t: lexicon.valence[t] for t in terms}, lexicon.boosters, lexicon.negators)
-    split = F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda t: F.length(t) > 1)
+    split = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda t: F.length(t) > 1)
     total = lambda values, part: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + part(v))
 
     def valences(tokens: Column) -> Column:

@@ -27,6 +27,9 @@ PUNCTUATION = r"!-/:-@\[-`{-~"
 # Java's own Unicode mode looks up properties per character and is several times slower.
 WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+# A run of white space; the look-ahead only lets the common characters fail fast.
+SPACES = rf"(?![!-~\u00a1-\u167f])[{WHITE}]+"
+
 # One-word contractions that a Treebank-style tokenizer splits in two.
 CONTRACTIONS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na")]
 
@@ -54,7 +57,7 @@ def clean_text(c: Column | str) -> Column:
     x = F.regexp_replace(x, r"(?U)@\w+|#", "")
     # marks and digits go one by one, so both deletions are one pass
     x = F.regexp_replace(x, rf"[{PUNCTUATION}\p{{Nd}}]+", "")
-    return F.trim(F.regexp_replace(x, f"[{WHITE}]+", " "))
+    return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
 def tokenize(c: Column | str) -> Column:
@@ -112,7 +115,7 @@ def char_count(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    words = F.filter(F.split(_col(c), f"[{WHITE}]+"), lambda t: t != "")
+    words = F.filter(F.split(_col(c), SPACES), lambda t: t != "")
     return F.when(_col(c).isNull(), 0).otherwise(F.size(words))
 
 

@@ -15,6 +15,7 @@ from threadtide.operators.selection import numeric_columns
 # Up to this many pairs, one native aggregate holds them all; beyond it such a plan spends its
 # time in code generation, and per-batch matrix products are the cheaper form.
 MAX_NATIVE_PAIRS = 15
+RESULT = "a string, b string, r double, n bigint"
 SUMS = ["n", "sa", "sb", "saa", "sbb", "sab"]
 
 
@@ -78,6 +79,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, max_n
     """
     columns = numeric_columns(df, columns)
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], RESULT)
     numbers = df.select(*[known(c).alias(c) for c in columns])
     if len(pairs) <= max_native_pairs:
         return _native_sums(numbers, pairs)
@@ -88,6 +91,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """The full symmetric matrix in long form (a, b, r, n), diagonal included."""
     columns = numeric_columns(df, columns)
     pairs = correlation_pairs(df, columns)
+    if not columns:
+        return pairs
     both = pairs.select(
         F.inline(F.array(F.struct("a", "b", "r", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r", "n")))
     )
