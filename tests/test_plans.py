@@ -12,7 +12,7 @@ from threadtide.sources.events import EventWindow, event_dimension
 
 DAY = datetime(2024, 1, 10)
 WORDS = prepare.Dictionaries(
-    lexicon=Lexicon({"great": 3.0, "awful": -2.0}), teams=["og", "t1"], players=["topson"], heroes=["io"],
+    lexicon=Lexicon({"great": 3.0, "awful": -2.0}), teams=["og", "t1"], players=["zed"], heroes=["io"],
     event_words=["final"], post_types={"Player Transfer": ["joins"], "Tournament Result": ["wins"]},
 )
 
@@ -33,7 +33,7 @@ def threads_of(spark):
         c("p1", 4, " \t", "bob", DAY, 7),
         c("p1", 5, "T1 awful", None, DAY - timedelta(days=2), 6),
         c("p1", 5, "T1 awful", None, DAY - timedelta(days=2), 6),
-        c("p2", 6, "later topson", "amy", DAY + timedelta(days=40), 1),
+        c("p2", 6, "later zed", "amy", DAY + timedelta(days=40), 1),
         c("p2", 7, "no time", "amy", None, 1),
         c("p3", 8, "not in the window", "amy", DAY, 1),
         c("p4", 9, "no query word", "amy", DAY, 1),

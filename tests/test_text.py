@@ -29,17 +29,17 @@ def test_counts(values):
 
 
 def test_contains_word(values):
-    rows = ["dogs", "OG!", "cr1t- x", "v.p", "vxp", "éog", "og_", None, ""]
+    rows = ["dogs", "OG!", "ab1- x", "v.p", "vxp", "éog", "og_", None, ""]
     assert values(rows, lambda c: text.contains_word(c, ["og"])) == [False, True, False, False, False, False, False, False, False]
     # an entry that ends in punctuation needs a word character behind it
-    assert values(["cr1t- x", "cr1t-x"], lambda c: text.contains_word(c, ["cr1t-"])) == [False, True]
+    assert values(["ab1- x", "ab1-x"], lambda c: text.contains_word(c, ["ab1-"])) == [False, True]
     assert values(rows, lambda c: text.contains_word(c, ["v.p"]))[3:5] == [True, False]
     assert values(rows, lambda c: text.contains_word(c, [])) == [False] * len(rows)
 
 
 def test_long_list_agrees_with_regex(values):
-    entries = ["og", "v.p", "two words", "été", "cr1t-"] + [f"w{i}" for i in range(40)]
-    rows = ["dogs og", "OG!", "v.p", "Two words", "twowords", "été", "étéx", "w39.", "w390", "cr1t-x", "a_og", None]
+    entries = ["og", "v.p", "two words", "été", "ab1-"] + [f"w{i}" for i in range(40)]
+    rows = ["dogs og", "OG!", "v.p", "Two words", "twowords", "été", "étéx", "w39.", "w390", "ab1-x", "a_og", None]
     assert len(entries) > text.REGEX_KEYWORD_LIMIT
     long = values(rows, lambda c: text.contains_word(c, entries))
     parts = [values(rows, lambda c, e=e: text.contains_word(c, [e])) for e in entries]
