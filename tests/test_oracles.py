@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from workload import registry
 from tests.compare import difference
 from tests.conftest import SF_DIR
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Tree attribution and the many-column correlation work on Arrow batches; nothing else leaves the JVM.
 PYTHON_STEPS = {"l13_tree_attribution", "l14_global_effect", "l15_dependence", "q04_correlation"}
 
