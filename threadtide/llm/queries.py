@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadtide.llm import toxicity
+from threadtide.llm import toxicity, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -13,3 +13,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.load_model(spark, documents, sf_dir)
     return toxicity.score(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encode(table(spark, sf_dir, "documents"))
