@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadtide.llm import toxicity, viterbi
+from threadtide.llm import jaccard, toxicity, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -18,3 +18,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
