@@ -108,7 +108,8 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     with np.errstate(over="ignore"):
         hashed = _TABLE[((place & (_SLOTS - 1)) << 8) | values]
         if int(lengths.max()) > _SLOTS:
-            hashed = mix64(hashed + (place // _SLOTS).astype(np.uint64))
+            far = place >= _SLOTS
+            hashed[far] = mix64(hashed[far] + (place[far] // _SLOTS).astype(np.uint64))
         return mix64(np.add.reduceat(hashed, firsts) + lengths.astype(np.uint64))
 
 
