@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadtide.llm import jaccard, toxicity, viterbi
+from threadtide.llm import jaccard, tiling, toxicity, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -23,3 +23,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.find(table(spark, sf_dir, "documents"), tiling.item_blocks(table(spark, sf_dir, "benchmark")))
