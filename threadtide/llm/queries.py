@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadtide.llm import jaccard, tiling, toxicity, viterbi
+from threadtide.llm import compact, jaccard, tiling, toxicity, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -28,3 +28,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_benchmark_decontamination")
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.find(table(spark, sf_dir, "documents"), tiling.item_blocks(table(spark, sf_dir, "benchmark")))
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact.report(table(spark, sf_dir, "documents"))
