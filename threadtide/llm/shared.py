@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadtide.session import ensure_checkpoint_dir
+from threadtide.session import ensure_checkpoint_dir, scratch_path
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -15,3 +15,8 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under spark.checkpoint.dir."""
+    return scratch_path(spark, name)
