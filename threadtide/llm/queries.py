@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from threadtide.llm import compact, jaccard, tiling, toxicity, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -33,3 +34,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.report(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
