@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadtide.llm import compact, jaccard, lempelziv, tiling, toxicity, viterbi
+from threadtide.llm import compact, jaccard, lempelziv, tiling, toxicity, urlfilter, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -44,3 +44,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_fingerprints")
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempelziv.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_filters", urlfilter.oracle())
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
