@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadtide.llm import compact, jaccard, lempelziv, tiling, toxicity, urlfilter, viterbi
+from threadtide.llm import compact, hostarray, jaccard, lempelziv, tiling, toxicity, urlfilter, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -49,3 +49,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_url_filters", urlfilter.oracle())
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostarray.extract(table(spark, sf_dir, "pages"))
