@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadtide.llm import compact, hostarray, jaccard, lempelziv, tiling, toxicity, urlfilter, viterbi
+from threadtide.llm import compact, hostarray, jaccard, lempelziv, licenses, tiling, toxicity, urlfilter, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -54,3 +54,8 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostarray.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_license_scans", licenses.oracle())
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", licenses.document_path())
