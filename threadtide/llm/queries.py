@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadtide.llm import compact, hostarray, jaccard, lempelziv, licenses, tiling, toxicity, urlfilter, viterbi
+from threadtide.llm import compact, hostarray, jaccard, lattice, lempelziv, licenses, tiling, toxicity, urlfilter, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -59,3 +59,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scans", licenses.oracle())
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", licenses.document_path())
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice.score(table(spark, sf_dir, "documents"), ~lattice.held_out())
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "pieces_score")
