@@ -8,8 +8,8 @@ from tests.compare import difference
 from tests.conftest import SF_DIR
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-# Tree attribution and the many-column correlation work on Arrow batches; nothing else leaves the JVM.
-PYTHON_STEPS = {"l13_tree_attribution", "l14_global_effect", "l15_dependence", "q04_correlation"}
+# Tree attribution works on Arrow batches; nothing else leaves the JVM.
+PYTHON_STEPS = {"l13_tree_attribution", "l14_global_effect", "l15_dependence"}
 
 
 def plan_of(df) -> str:

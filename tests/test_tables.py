@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_oracles import plan_of
+from threadtide.functions.text import contains_word
 from threadtide.operators import bounded, correlation, distribution, quantiles, summary, threads
 from threadtide.operators.grid import densify
 from threadtide.sources.events import EventWindow, event_dimension
@@ -110,23 +111,32 @@ def test_period_table_adds_up(spark):
         assert sum(v for k, v in row.items() if k.endswith("_pct")) == pytest.approx(100.0)
 
 
-def test_correlation_paths_agree(spark):
+def test_correlation_by_definition(spark):
     rng = random.Random(7)
     rows = [(rng.random(), rng.choice([None, rng.gauss(1e6, 1)]), rng.random() < 0.5, 4.0, rng.choice([math.nan, rng.random()])) for _ in range(500)]
     df = spark.createDataFrame(rows, "a double, b double, c boolean, d double, e double")
-    native = {(r["a"], r["b"]): (r["r"], r["n"]) for r in correlation.correlation_pairs(df).collect()}
-    matrix = {(r["a"], r["b"]): (r["r"], r["n"]) for r in correlation.correlation_pairs(df, max_native_pairs=0).collect()}
-    assert set(native) == set(matrix) and len(native) == 10
-    for pair, (r, n) in native.items():
-        assert matrix[pair][1] == n
-        if "d" in pair:
-            assert r is None and matrix[pair][0] is None
+    got = {(r["a"], r["b"]): (r["r"], r["n"]) for r in correlation.correlation_pairs(df).collect()}
+    assert len(got) == 10
+    for (a, b), (r, n) in got.items():
+        both = [(float(x), float(y)) for x, y in ((row["abcde".index(a)], row["abcde".index(b)]) for row in rows) if x is not None and y is not None and x == x and y == y]
+        assert n == len(both)
+        if "d" in (a, b):
+            assert r is None
         else:
-            assert matrix[pair][0] == pytest.approx(r, abs=1e-9)
+            assert r == pytest.approx(statistics.correlation(*zip(*both)), abs=1e-9)
     full = correlation.correlation_matrix(df)
     assert full.count() == 25
 
 
+@pytest.mark.parametrize("more", [0, 12])
+def test_correlation_keeps_small_spreads_at_any_number_of_pairs(spark, more):
+    rows = [(1e6 + 0.25 * (-1) ** i if i % 2 or i < 50 else 0.0, (1.0 * (-1) ** i) if i < 50 else None, 1e15) + (0.5 * i,) * more for i in range(100)]
+    names = ["x", "y", "flat", *[f"m{k}" for k in range(more)]]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    got = {(r["a"], r["b"]): r["r"] for r in correlation.correlation_pairs(df).collect()}
+    assert got["x", "y"] == pytest.approx(1.0, abs=1e-9) and got["x", "flat"] is None
+
+
 def test_small_side_is_counted(spark):
     df = spark.range(20)
     local, small = bounded.materialize_small(df, 20)
@@ -185,8 +195,30 @@ def test_event_assignment_paths_agree(spark, monkeypatch):
     many = threads.assign_events(rows, "t", events, ["txt"]).select("i", "event_name")
     assert "NestedLoop" not in plan_of(many)
     assert sorted(map(tuple, many.collect())) == few and len(few) > 200
-    with pytest.raises(ValueError):
-        threads.pair_with_events(rows, events)
+    pairs = threads.pair_with_events(rows, events)
+    assert pairs.count() == 200 * 12 and pairs.columns == [*rows.columns, *events.columns]
+
+
+def test_windows_of_any_length_meet_their_rows(spark, monkeypatch):
+    day = datetime(2024, 1, 1)
+    spans = [(0, 1), (5, 5), (10, 400_000), (59, 61), (60, 119), (7, 3), (1000, 90_000)]
+    events = event_dimension(spark, [EventWindow(f"w{i}", day + timedelta(seconds=a), day + timedelta(seconds=b)) for i, (a, b) in enumerate(spans)])
+    rows = spark.createDataFrame([(i, day + timedelta(seconds=i * 31)) for i in range(2000)], "i int, t timestamp")
+    few = sorted(map(tuple, threads.assign_events(rows, "t", events).select("i", "event_name").collect()))
+    monkeypatch.setattr(threads, "MAX_INLINE_EVENTS", 2)
+    assert sorted(map(tuple, threads.assign_events(rows, "t", events).select("i", "event_name").collect())) == few
+    none = threads.assign_events(rows, "t", events.limit(0))
+    assert none.count() == 0 and none.columns == [*rows.columns, *events.columns]
+
+
+def test_keyword_table_agrees_with_contains_word(spark):
+    entries = ["call of the wild", "cr1t-", "of the", "x²", "og", "#tag", "--", "v.p", "été", "a\\eb"]
+    texts = ["the call of the wild!", "call of the, wild", "of, the", "cr1t-x", "cr1t- x", "x²y", "x²", "og", "dog", "a #tag", "z#tag", "a--b", "a -- b", "V.P", "étéx", "été", "a\\eb", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    words = spark.createDataFrame([(e,) for e in [*entries, "", None]], "keyword string")
+    got = {r["i"] for r in threads.keyword_rows(rows, "i", "t", words).collect()}
+    want = {r["i"] for r in rows.where(contains_word("t", entries)).collect()}
+    assert got == want and {0, 2} & got == {0}
 
 
 def test_filters_reach_the_scan(spark):

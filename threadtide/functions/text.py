@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -33,8 +34,9 @@ SPACES = rf"(?![!-~\u00a1-\u167f])[{WHITE}]+"
 # One-word contractions that a Treebank-style tokenizer splits in two.
 CONTRACTIONS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na")]
 
-# Above this many one-word entries a hashed token look-up beats a regex alternation.
-REGEX_KEYWORD_LIMIT = 24
+# Unicode categories and joiners that Java's Unicode word class holds.
+WORD_CATEGORIES = {"Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Mn", "Mc", "Me", "Nd", "Pc"}
+JOINERS = "\u200c\u200d"
 
 
 def _col(c: Column | str) -> Column:
@@ -119,26 +121,26 @@ def word_count(c: Column | str) -> Column:
     return F.when(_col(c).isNull(), 0).otherwise(F.size(words))
 
 
+def is_word(entry: str) -> bool:
+    """Whether every character is a word character to Java, which splits the texts."""
+    return entry != "" and all(unicodedata.category(c) in WORD_CATEGORIES or c in JOINERS for c in entry)
+
+
 def contains_word(c: Column | str, keywords: Sequence[str]) -> Column:
     """True when any entry occurs as a whole word in the lower-cased text; no entries -> False.
 
-    Long lists: one-word entries go through a hash set over the text's words, which gives the
-    same answer as the word-boundary regex; entries with other characters stay with the regex.
+    One-word entries are a hash set that the text's words are looked up in, entries with other
+    characters a regex between word boundaries; both mean the same. Empty entries match nothing.
     """
-    entries = sorted(set(keywords))
-    if not entries:
-        return F.lit(False)
+    entries = sorted({k for k in keywords if k})
+    plain = [k for k in entries if is_word(k)]
+    odd = [k for k in entries if not is_word(k)]
     text = F.lower(_col(c))
-    plain = [k for k in entries if re.fullmatch(r"\w+", k)]
-    if len(plain) <= REGEX_KEYWORD_LIMIT:
-        plain = []
-    odd = entries if not plain else [k for k in entries if not re.fullmatch(r"\w+", k)]
     found = F.lit(False)
     if plain:
         found = F.exists(F.split(text, r"(?U)\W+"), lambda t: t.isin(plain))
     if odd:
-        pattern = "|".join(_quote(k) for k in odd)
-        found = found | text.rlike(rf"(?U)\b(?:{pattern})\b")
+        found = found | text.rlike(rf"(?U)\b(?:{'|'.join(_quote(k) for k in odd)})\b")
     return F.coalesce(found, F.lit(False))
 
 

@@ -2,89 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadtide.functions.numeric import known
 from threadtide.operators.selection import numeric_columns
 
-# Up to this many pairs, one native aggregate holds them all; beyond it such a plan spends its
-# time in code generation, and per-batch matrix products are the cheaper form.
-MAX_NATIVE_PAIRS = 15
 RESULT = "a string, b string, r double, n bigint"
-SUMS = ["n", "sa", "sb", "saa", "sbb", "sab"]
 
 
-def _native_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x = F.when(F.col(b).isNotNull(), F.col(a))
-        y = F.when(F.col(a).isNotNull(), F.col(b))
-        aggs += [
-            F.count(x + y).alias(f"n{i}"), F.covar_samp(x, y).alias(f"c{i}"),
-            F.stddev_samp(x).alias(f"x{i}"), F.stddev_samp(y).alias(f"y{i}"),
-        ]
-    rows = [
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"),
-            F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}")).alias("r"), F.col(f"n{i}").alias("n"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
-
-
-def _matrix_sums(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Per Arrow batch the sums of all pairs by matrix products; Spark adds the batches up."""
-    center = df.agg(F.struct(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns])).scalar()
-    # values around the mean keep the sums of squares from cancelling
-    shifted = df.select(*[(F.col(c) - center[c]).alias(c) for c in columns])
-    left = [columns.index(a) for a, _ in pairs]
-    right = [columns.index(b) for _, b in pairs]
-
-    def batch_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((len(pairs), len(SUMS)))
-        for batch in batches:
-            x = batch.to_numpy(dtype="float64")
-            present = (~np.isnan(x)).astype("float64")
-            x = np.nan_to_num(x)
-            products = [present.T @ present, x.T @ present, (x * x).T @ present, x.T @ x]
-            n, s, ss, cross = products
-            acc += np.column_stack([n[left, right], s[left, right], s[right, left], ss[left, right], ss[right, left], cross[left, right]])
-        yield pd.DataFrame({"pair": np.arange(len(pairs)), **{k: acc[:, i] for i, k in enumerate(SUMS)}})
-
-    schema = "pair int, " + ", ".join(f"{k} double" for k in SUMS)
-    sums = shifted.mapInPandas(batch_sums, schema).groupBy("pair").agg(*[F.sum(k).alias(k) for k in SUMS])
-    n = F.col("n")
-    spread = lambda ss, s: F.col(ss) - F.col(s) * F.col(s) / n
-    va, vb = spread("saa", "sa"), spread("sbb", "sb")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    # rounding leaves a trace of spread in a constant column
-    flat = (va <= 1e-12 * F.col("saa")) | (vb <= 1e-12 * F.col("sbb")) | (n < 2)
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return sums.select(
-        F.get(names, F.col("pair"))["a"].alias("a"), F.get(names, F.col("pair"))["b"].alias("b"),
-        F.when((n > 0) & ~flat, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))).alias("r"), n.cast("bigint").alias("n"),
-    )
-
-
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, max_native_pairs: int = MAX_NATIVE_PAIRS) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """r and n of every unordered pair of numeric and boolean columns, over rows with both present.
 
-    A constant column has no correlation: r is null.
+    A constant column has no correlation: r is null. Each row gives one short row per pair to an
+    aggregate that combines central moments on the map side, so large offsets do not cancel and one
+    formula serves any number of columns.
     """
     columns = numeric_columns(df, columns)
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], RESULT)
-    numbers = df.select(*[known(c).alias(c) for c in columns])
-    if len(pairs) <= max_native_pairs:
-        return _native_sums(numbers, pairs)
-    return _matrix_sums(numbers, columns, pairs)
+    numbers = df.select(F.array(*[known(c).cast("double") for c in columns]).alias("v"))
+    at = F.array(*[F.struct(F.lit(columns.index(a)).alias("i"), F.lit(columns.index(b)).alias("j")) for a, b in pairs])
+    cells = numbers.select("v", F.posexplode(at).alias("pair", "at")).select(
+        "pair", F.get("v", F.col("at")["i"]).alias("x"), F.get("v", F.col("at")["j"]).alias("y")
+    )
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    sums = cells.groupBy("pair").agg(
+        F.count(x).alias("n"), F.covar_samp(x, y).alias("c"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy"),
+        (F.min(x) < F.max(x)).alias("vx"), (F.min(y) < F.max(y)).alias("vy"),
+    )
+    names = spark_pairs(df, pairs)
+    r = F.when(F.col("vx") & F.col("vy"), F.try_divide("c", F.col("sx") * F.col("sy")))
+    return names.join(sums, "pair", "left").select("a", "b", r.alias("r"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def spark_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    return F.broadcast(df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a string, b string"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadtide.functions.binding import bind
 from threadtide.functions.temporal import instant
 from threadtide.operators import bounded
 
@@ -15,7 +14,9 @@ MAX_POSTS = 15
 COMMENT_LIMIT = 50
 # Up to this many event windows are carried in the plan as a literal array.
 MAX_INLINE_EVENTS = 256
+# Time buckets: the narrowest, and how much wider each next class of windows may be.
 MIN_BUCKET_SECONDS = 60
+BUCKET_STEP = 4
 
 
 def matches_query(query: Column | str, *texts: Column) -> Column:
@@ -57,22 +58,42 @@ def merge_listings(listings: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
     return first_per_key(union, keys, [F.desc("_source")]).drop("_source")
 
 
-def _inline_events(events: DataFrame) -> Column | None:
-    """The event rows as one literal array of structs, or None if there are too many."""
+def _literal(events: DataFrame, rows: list[dict]) -> Column:
+    """Event rows as one literal array of structs; no rows give an empty array of the same type."""
     kinds = {f.name: f.dataType for f in events.schema.fields}
-    ts = [name for name, kind in kinds.items() if kind.typeName() == "timestamp"]
-    plain = events.select(*[F.unix_micros(c).alias(c) if c in ts else c for c in events.columns])
-    rows = plain.limit(MAX_INLINE_EVENTS + 1).toArrow().to_pylist()
-    if len(rows) > MAX_INLINE_EVENTS:
-        return None
+    if not rows:
+        fields = ", ".join(f"`{name}`: {kind.simpleString()}" for name, kind in kinds.items())
+        return F.array().cast(f"array<struct<{fields}>>")
 
     def literal(name: str, value) -> Column:
-        typed = F.timestamp_micros(F.lit(value)) if name in ts else F.lit(value).cast(kinds[name])
+        typed = F.timestamp_micros(F.lit(value)) if kinds[name].typeName() == "timestamp" else F.lit(value).cast(kinds[name])
         return typed.alias(name)
 
     return F.array(*[F.struct(*[literal(k, v) for k, v in row.items()]) for row in rows])
 
 
+def _plain(events: DataFrame) -> DataFrame:
+    ts = [f.name for f in events.schema.fields if f.dataType.typeName() == "timestamp"]
+    return events.select(*[F.unix_micros(c).alias(c) if c in ts else c for c in events.columns])
+
+
+def _inline_events(events: DataFrame) -> Column | None:
+    """The event rows as a literal, or None if there are too many."""
+    rows = _plain(events).limit(MAX_INLINE_EVENTS + 1).toArrow().to_pylist()
+    return None if len(rows) > MAX_INLINE_EVENTS else _literal(events, rows)
+
+
+def _event_blocks(events: DataFrame) -> list[Column]:
+    """The event rows as literals of about MAX_INLINE_EVENTS rows; they reach the driver block by block."""
+    inline = _inline_events(events)
+    if inline is not None:
+        return [inline]
+    blocks = -(-2 * events.count() // MAX_INLINE_EVENTS)
+    plain = _plain(events).withColumn("_block", F.pmod(F.xxhash64(*events.columns), F.lit(blocks)))
+    parts = [plain.where(F.col("_block") == k).drop("_block").toArrow().to_pylist() for k in range(blocks)]
+    return [_literal(events, rows) for rows in parts if rows]
+
+
 def _pair(df: DataFrame, inline: Column, when: Callable[[Column], Column] | None) -> DataFrame:
     return df.select("*", F.inline(F.filter(inline, when) if when else inline))
 
@@ -81,34 +102,38 @@ def assign_events(df: DataFrame, created: str, events: DataFrame, texts: Sequenc
     """Pair each row with every event whose [start_ts, end_ts] holds its time (1:N).
 
     With ``texts`` the row must also hold the event's query words. A few events are a literal in
-    the plan (map-only). Many events become an equi-join on time buckets about as long as an
-    average window, so that the pairs tried stay close to the pairs found.
+    the plan (map-only). Many events become an equi-join on time buckets: a window falls into the
+    class of the next bucket width that is as long as itself, so it meets two buckets at most, and
+    a row meets one bucket of each class that occurs.
     """
     at = F.col(created).cast("timestamp")
     match = (lambda q: matches_query(q, *[F.col(t) for t in texts])) if texts else (lambda q: F.lit(True))
     inline = _inline_events(events)
     if inline is not None:
         return _pair(df, inline, lambda e: at.between(e["start_ts"], e["end_ts"]) & match(e["query"]))
-    seconds = F.unix_seconds("end_ts") - F.unix_seconds("start_ts")
-    mean = events.agg(F.avg(seconds).alias("m")).first()["m"] or 0
-    width = max(MIN_BUCKET_SECONDS, int(mean))
-    bucket = lambda t: F.floor(F.unix_seconds(t) / F.lit(width))
-    spans = events.where("start_ts <= end_ts").withColumn(
-        "_bucket", F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("end_ts"))))
-    )
-    joined = df.withColumn("_bucket", bucket(at)).join(spans, "_bucket")
-    return joined.where(at.between(F.col("start_ts"), F.col("end_ts")) & match(F.col("query"))).drop("_bucket")
+    seconds = F.unix_seconds("end_ts") - F.unix_seconds("start_ts") + 1
+    steps = F.greatest(F.lit(0), F.ceil(F.log(float(BUCKET_STEP), seconds / MIN_BUCKET_SECONDS))).cast("int")
+    width = lambda k: F.lit(MIN_BUCKET_SECONDS) * F.pow(F.lit(float(BUCKET_STEP)), k)
+    bucket = lambda t, k: F.floor(F.unix_seconds(t) / width(k))
+    spans = events.where("start_ts <= end_ts").withColumn("_class", steps)
+    classes = [r["_class"] for r in spans.select("_class").distinct().orderBy("_class").collect()]  # a few: widths grow by steps
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("start_ts"), F.col("_class")), bucket(F.col("end_ts"), F.col("_class")))))
+    spread = df.withColumn("_class", F.explode(F.array(*[F.lit(k) for k in classes]).cast("array<int>")))
+    joined = spread.withColumn("_bucket", bucket(at, F.col("_class"))).join(spans, ["_class", "_bucket"])
+    return joined.where(at.between(F.col("start_ts"), F.col("end_ts")) & match(F.col("query"))).drop("_class", "_bucket")
 
 
 def pair_with_events(df: DataFrame, events: DataFrame, when: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Every row with every event of a small event table (for tables without an event key).
+    """Every row with every event of a stated event table (for tables without an event key).
 
-    ``when`` tests the event struct next to the row, before a pair is made.
+    ``when`` tests the event struct next to the row, before a pair is made. A large event table is
+    paired in blocks, one pass over the rows for each.
     """
-    inline = _inline_events(events)
-    if inline is None:
-        raise ValueError(f"more than {MAX_INLINE_EVENTS} events: assign rows by window or by key instead")
-    return _pair(df, inline, when)
+    blocks = [_pair(df, inline, when) for inline in _event_blocks(events)]
+    out = blocks[0]
+    for part in blocks[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def attach_events(df: DataFrame, events: DataFrame, key: str = "event_name") -> DataFrame:
@@ -157,21 +182,25 @@ def collect_threads(
 
 
 def keyword_rows(df: DataFrame, row_id: str, text: str, dictionary: DataFrame, keyword: str = "keyword") -> DataFrame:
-    """Ids of rows whose text holds an entry of a dictionary table, as words of up to three parts.
+    """Ids of rows whose lower-cased text holds an entry of a dictionary table as a whole word.
 
-    For dictionaries too large for a plan literal: word n-grams meet the table in a semi join.
+    For dictionaries too large for a plan literal, with the same answers as ``contains_word``. A
+    text can only hold an entry if the entry's first word is one of the text's words (or, if the
+    entry has no word, its marks stand between two words), so that part is the join key; the
+    candidates are then tested between word boundaries.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\W+"), lambda w: w != "")
-
-    def grams(w: Column, n: int) -> Column:
-        places = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-
-    entry_like = bind(words, lambda w: F.array_distinct(F.concat(w, grams(w, 2), grams(w, 3))))
-    entries = bounded.small_side(dictionary.select(F.lower(keyword).alias("_g")).distinct())
-    return (
-        df.select(row_id, F.explode(entry_like).alias("_g"))
-        .join(entries, "_g", "left_semi")
-        .select(row_id)
-        .distinct()
-    )
+    lowered = F.lower(F.col(text))
+    entries = dictionary.select(F.lower(keyword).alias("_entry")).where("_entry <> ''").distinct()
+    first = F.regexp_extract("_entry", r"(?U)\w+", 0)
+    keyed = entries.select("_entry", F.when(first == "", F.col("_entry")).otherwise(first).alias("_key"), (first == F.col("_entry")).alias("_whole"))
+    parts = F.array_distinct(F.concat(F.split(lowered, r"(?U)\W+"), F.split(lowered, r"(?U)\w+")))
+    found = df.select(row_id, F.explode(parts).alias("_key"))
+    plain, odd = keyed.where("_whole").select("_key").distinct(), keyed.where("not _whole").select("_key", "_entry")
+    whole = found.join(bounded.small_side(plain), "_key", "left_semi").select(row_id)
+    if odd.isEmpty():
+        return whole.distinct()
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("_entry", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    candidates = found.join(bounded.small_side(odd), "_key").select(row_id, "_entry").distinct()
+    texts = df.select(row_id, lowered.alias("_text"))
+    tested = texts.join(candidates, row_id).where(F.regexp_like("_text", quoted)).select(row_id)
+    return whole.unionByName(tested).distinct()

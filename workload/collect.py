@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from threadtide.operators.grid import densify
 from threadtide.schema import PERIODS
 from threadtide.session import scratch_path
 from threadtide.sources import dictionaries, reports, tables
-from threadtide.sources.events import event_dimension
+from threadtide.sources.events import EventWindow, event_dimension
 from workload import views
 from workload.registry import query
 from workload.views import LABELLED_SQL, POST_EVENTS_SQL, rounded, seconds_text, table
@@ -267,6 +267,12 @@ def _(spark, sf_dir):
     return threads.assign_events(rows.select("event_id", "ts"), "ts", windows).select("window_id", "event_id")
 
 
+@query("j02_no_events", "SELECT 'none' AS event_name, o_orderkey AS post_id FROM orders WHERE FALSE")
+def _(spark, sf_dir):
+    none = event_dimension(spark, [])
+    return threads.assign_events(views.posts(spark, sf_dir), "post_created_utc", none, ["post_title", "selftext"]).select("event_name", "post_id")
+
+
 @query("j03_dense_grid", f"""WITH {LABELLED_SQL},
   cells AS (SELECT event_type, time_period, event_name, count(*) AS n FROM labelled WHERE event_type = 'error' OR time_period <> 'After Event' GROUP BY ALL),
   grid AS (SELECT * FROM (SELECT DISTINCT event_type FROM cells), (SELECT DISTINCT event_name FROM cells),
@@ -278,15 +284,26 @@ def _(spark, sf_dir):
     return densify(cells, {"event_type": None, "event_name": None, "time_period": PERIODS})
 
 
-@query("j04_keyword_semi_join", """SELECT doc_id FROM documents WHERE regexp_matches(lower(text),
-  '(^|[^\\p{L}\\p{M}\\p{N}_])(thing|license|worthless|of the)([^\\p{L}\\p{M}\\p{N}_]|$)')
-  OR regexp_matches(lower(text), '(^|[^\\p{L}\\p{M}\\p{N}_])of[^\\p{L}\\p{M}\\p{N}_]+the([^\\p{L}\\p{M}\\p{N}_]|$)')""")
+TABLE_WORDS = ["thing", "license", "worthless", "Of The", "the and attion to", "the, anea", "version 2.0", "ernt."]
+_WORD = r"[^\p{L}\p{M}\p{Nd}_]"
+
+
+@query("j04_keyword_semi_join", f"""SELECT doc_id FROM documents WHERE regexp_matches(lower(text),
+  '(^|{_WORD})(thing|license|worthless|of the|the and attion to|the, anea|version 2\\.0)($|{_WORD})|(^|{_WORD})ernt\\.[\\p{{L}}\\p{{M}}\\p{{Nd}}_]')""")
 def _(spark, sf_dir):
-    words = spark.createDataFrame([("thing",), ("license",), ("worthless",), ("Of The",)], "keyword string")
+    words = spark.createDataFrame([(w,) for w in TABLE_WORDS], "keyword string")
     docs = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return threads.keyword_rows(docs, "doc_id", "text", words)
 
 
+@query("j04_large_dictionary", f"""SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|{_WORD})(thing|worthless|the and attion to)($|{_WORD})')""")
+def _(spark, sf_dir):
+    # a dictionary beyond any broadcast or literal: the table is joined
+    filler = table(spark, sf_dir, "orders").select(F.concat(F.lit("filler"), "o_orderkey").alias("keyword"))
+    words = spark.createDataFrame([("thing",), ("worthless",), ("the and attion to",)], "keyword string").unionAll(filler)
+    return threads.keyword_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", words)
+
+
 @query("j05_counts_and_shares", """SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY event_type""")
 def _(spark, sf_dir):
     rows = views.activity(spark, sf_dir)
@@ -410,3 +427,22 @@ def _(spark, sf_dir):
         listing_since=datetime(1996, 6, 1), comment_limit=3,
     )
     return rows.select("event_name", "post_id", "comment_id", "comment_score")
+
+
+MANY_QUERIES = ["low", "f", "p", "high", "o"]
+MANY_EVENTS_SQL = f"""
+  post_events AS (SELECT 'W' || i AS event_name, {MANY_QUERIES}[(i % 5)::INTEGER + 1] AS query, TIMESTAMP '1995-01-01' + (3 * i) * INTERVAL 1 DAY AS start_ts,
+                  TIMESTAMP '1995-01-01' + (3 * i + 20) * INTERVAL 1 DAY AS end_ts FROM range(300) r(i))"""
+
+
+@query("d05_collect_threads_many", FULL_COLLECTION.replace(POST_EVENTS_SQL, MANY_EVENTS_SQL))
+def _(spark, sf_dir):
+    first = datetime(1995, 1, 1)
+    windows = [
+        EventWindow(f"W{i}", first + timedelta(days=3 * i), first + timedelta(days=3 * i + 20), MANY_QUERIES[i % 5]) for i in range(300)
+    ]
+    rows = threads.collect_threads(
+        views.posts(spark, sf_dir), views.comments(spark, sf_dir), event_dimension(spark, windows),
+        listing_since=datetime(1996, 6, 1), comment_limit=3,
+    )
+    return rows.select("event_name", "post_id", "comment_id", "comment_score")

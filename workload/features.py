@@ -156,9 +156,9 @@ POST_TYPE_SQL = """CASE WHEN contains(x, 'license') OR contains(x, 'ß') THEN 'T
   WHEN contains(x, 'ment') OR contains(x, 'src1') THEN 'Ranking' ELSE 'Other' END"""
 
 
-@query("t07_post_type", f"SELECT doc_id, {POST_TYPE_SQL} AS post_type FROM (SELECT doc_id, lower(substr(text, 1, 80) || ' ' || coalesce(nullif(source, 'src0'), '')) AS x FROM documents)")
+@query("t07_post_type", f"SELECT doc_id, {POST_TYPE_SQL} AS post_type FROM (SELECT doc_id, lower(text || ' ' || coalesce(nullif(source, 'src0'), '')) AS x FROM documents)")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.nullif("source", F.lit("src0")).alias("body"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), F.nullif("source", F.lit("src0")).alias("body"))
     return rows.select("doc_id", text.post_type("title", "body", POST_TYPES).alias("post_type"))
 
 
@@ -168,9 +168,9 @@ def _(spark, sf_dir):
 
 
 @query("t09_title_features", f"""SELECT doc_id, length(t) AS post_title_length, len(list_filter(regexp_split_to_array(t, '{WS}+'), lambda w: w <> '')) AS post_title_word_count
-FROM (SELECT doc_id, substr(text, 1, 80) AS t FROM documents)""")
+FROM (SELECT doc_id, text AS t FROM documents)""")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     return rows.select(
         "doc_id", text.char_count("t").cast("bigint").alias("post_title_length"), text.word_count("t").cast("bigint").alias("post_title_word_count")
     )

@@ -329,6 +329,25 @@ def _(spark, sf_dir):
     return rounded(correlation.correlation_pairs(_correlated(spark, sf_dir), ["l_quantity", "l_extendedprice", "deep", "zero"]))
 
 
+OFFSET_COLUMNS = [f"c{k}" for k in range(7)]
+OFFSET_SQL = "(SELECT " + ", ".join(f"CASE WHEN l_linenumber % 7 <> {k} THEN l_extendedprice * {k + 1} + l_quantity * {7 - k} + 1000000 END AS c{k}" for k in range(7)) + " FROM lineitem)"
+
+
+@query("q04_correlation_offset", _corr_sql(OFFSET_COLUMNS).replace(MODEL_SQL, OFFSET_SQL))
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*[
+        F.when(F.col("l_linenumber") % 7 != k, F.col("l_extendedprice") * (k + 1) + F.col("l_quantity") * (7 - k) + 1000000).alias(f"c{k}") for k in range(7)
+    ])
+    return rounded(correlation.correlation_pairs(rows, OFFSET_COLUMNS))
+
+
+@query("q04_correlation_matrix", f"""WITH pairs AS ({_corr_sql(CORRELATED)})
+SELECT * FROM pairs UNION ALL SELECT b, a, r, n FROM pairs
+UNION ALL """ + " UNION ALL ".join(f"SELECT '{c}', '{c}', {'NULL' if c == 'zero' else '1.0'}, (SELECT count({c}) FROM {MODEL_SQL})" for c in CORRELATED))
+def _(spark, sf_dir):
+    return rounded(correlation.correlation_matrix(_correlated(spark, sf_dir), CORRELATED))
+
+
 @query("q05_interpretation")
 def _(spark, sf_dir):
     df = views.activity(spark, sf_dir)
