@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_oracles import plan_of
 from threadtide.functions.text import contains_word
-from threadtide.operators import bounded, correlation, distribution, quantiles, summary, threads
+from threadtide.operators import bounded, grid, correlation, distribution, quantiles, summary, threads
 from threadtide.operators.grid import densify
 from threadtide.sources.events import EventWindow, event_dimension
 
@@ -150,6 +150,15 @@ def test_grid_of_two_observed_keys(spark):
     assert densify(df, {"k": None, "l": None}).count() == 4
 
 
+def test_grid_of_many_values_and_nulls(spark, monkeypatch):
+    rows = [(f"k{i % 5}", i % 7, i) for i in range(35)] + [(None, 1, 1), ("k1", None, 2)]
+    df = spark.createDataFrame(rows, "k string, l int, n int").groupBy("k", "l").count()
+    few = sorted(map(tuple, densify(df, {"k": None, "l": None}).collect()))
+    assert len(few) == 35 and all(n == 1 for *_, n in few)
+    monkeypatch.setattr(grid, "materialize_small", lambda table, *_: (table, False))
+    assert sorted(map(tuple, densify(df, {"k": None, "l": None}).collect())) == few
+
+
 def test_profile(spark):
     df = spark.createDataFrame([("x", 1.0, True), ("x", 2.0, None), ("a", None, None), ("a", 9.0, None)], "s string, v double, b boolean")
     rows = {r["column"]: r for r in summary.profile(df).collect()}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, OneHotEncoder, RegexTokenizer,
+    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, OneHotEncoder, RegexTokenizer,
     SQLTransformer, StopWordsRemover, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from threadtide.functions.numeric import known
 from threadtide.functions.text import STOP_WORDS
 from threadtide.operators.selection import numeric_columns
-from threadtide.operators.tfidf import MAX_DF, MAX_FEATURES, MIN_DF
+from threadtide.operators.tfidf import MAX_DF, MAX_FEATURES, MIN_DF, vocabulary
 from threadtide.schema import BOOLEAN, CATEGORICAL, NUMERICAL, TARGET_DERIVED, TEXT
 
 NULL_CATEGORY = "∅"
@@ -58,16 +58,18 @@ def _text_stages(df: DataFrame, text: str, stop_words: Sequence[str], max_featur
         NGram(n=2, inputCol="_kept", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _grams FROM __THIS__"),
     ]
-    current = PipelineModel(steps).transform(df)
-    counts = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df).fit(current)
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counts.transform(current))
+    # the same terms and weights as the long form, ties at the border settled by term; max_features rows at most
+    found = vocabulary(df.select(text), text, text, stop_words, max_features, min_df, max_df)
+    rows = found.orderBy(F.desc("cf"), "term").select("term", "idf").collect()
+    if not rows:
+        raise ValueError(f"no term of {text} is in {min_df} rows and in no more than a share of {max_df}")
+    terms = [r["term"] for r in rows]
     steps += [
-        counts,
-        # idf with the added one, then unit length
-        ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0)),
+        CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_tf"),
+        ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense([r["idf"] for r in rows])),
         Normalizer(inputCol="_tfidf", outputCol="_text_vec", p=2.0),
     ]
-    return steps, [f"text__{t}" for t in counts.vocabulary]
+    return steps, [f"text__{t}" for t in terms]
 
 
 def _category_stages(df: DataFrame, columns: Sequence[str]):

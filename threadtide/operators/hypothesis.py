@@ -111,7 +111,15 @@ def anova_of_statistics(stats: DataFrame, group: str, value: str) -> DataFrame:
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed and expected counts of every (a, b) cell, rows with a null dropped."""
-    cells, _ = bounded.materialize_small(df.dropna(subset=[a, b]).groupBy(a, b).count())
+    return _expected(observed_cells(df, a, b), a, b)
+
+
+def observed_cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, count) of the pairs that occur, kept as a local relation where they are few."""
+    return bounded.materialize_small(df.dropna(subset=[a, b]).groupBy(a, b).count())[0]
+
+
+def _expected(cells: DataFrame, a: str, b: str) -> DataFrame:
     dense = densify(cells, {a: None, b: None}).select(a, b, F.coalesce("count", F.lit(0)).alias("observed"))
     rows = cells.groupBy(a).agg(F.sum("count").alias("_ra"))
     cols = cells.groupBy(b).agg(F.sum("count").alias("_cb"))
@@ -123,27 +131,40 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi2_sums(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """Sizes, plain statistic and continuity-corrected (Yates) statistic."""
-    gap = F.abs(F.col("observed") - F.col("expected"))
-    yates = F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2.0)) / F.col("expected")
-    return cells.agg(
-        F.count_distinct(a).alias("n_a"), F.count_distinct(b).alias("n_b"),
-        F.sum(gap * gap / F.col("expected")).alias("plain"), F.sum(yates).alias("yates"),
+    """Sizes and the plain statistic from the observed cells (a, b, count) alone.
+
+    With expected counts r * c / n the statistic is n * (sum of o**2 / (r * c) - 1), to which empty
+    cells add nothing, so the grid of all pairs is never made.
+    """
+    rows = cells.groupBy(a).agg(F.sum("count").cast("double").alias("_ra"))
+    cols = cells.groupBy(b).agg(F.sum("count").cast("double").alias("_cb"))
+    total = cells.agg(F.sum("count")).scalar()
+    part = F.col("count") * F.col("count") / (F.col("_ra") * F.col("_cb"))
+    return cells.join(rows, a).join(cols, b).agg(
+        F.count_distinct(a).alias("n_a"), F.count_distinct(b).alias("n_b"), (total * (F.sum(part) - 1)).alias("plain")
     )
 
 
+def yates_statistic(cells: DataFrame, a: str, b: str) -> float:
+    """Continuity-corrected statistic of a 2x2 table."""
+    gap = F.abs(F.col("observed") - F.col("expected"))
+    one = F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2.0)) / F.col("expected")
+    return _expected(cells, a, b).agg(F.sum(one).alias("yates")).first().yates
+
+
 def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """Independence of two columns as one result row; 2x2 tables get the Yates correction."""
     problem = input_problem(df, [a, b])
     if problem:
         return _row(df, CHI2, status="error", reason=problem)
-    s = chi2_sums(contingency(df, a, b), a, b).first()
+    cells = observed_cells(df, a, b)
+    s = chi2_sums(cells, a, b).first()
     if not s.n_a:
         return _row(df, CHI2, status="skipped", reason="No rows with both columns.")
     if s.n_a < 2 or s.n_b < 2:
         return _row(df, CHI2, status="skipped", reason="The table is smaller than 2x2.")
     dof = (s.n_a - 1) * (s.n_b - 1)
-    chi2 = s.yates if dof == 1 else s.plain
+    chi2 = yates_statistic(cells, a, b) if dof == 1 else s.plain
     p = tails.chi2_upper(chi2, dof)
     text = _verdict(
         p,

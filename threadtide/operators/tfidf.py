@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadtide.functions.binding import bind
 from threadtide.functions.text import STOP_WORDS
+from threadtide.operators import bounded
 
 MAX_FEATURES = 5000
 MIN_DF = 5
@@ -56,9 +58,13 @@ def vocabulary(
 
     Hot terms collapse in the map-side partial aggregate.
     """
+    return _vocabulary(df, _term_counts(df, row_id, text, stop_words), max_features, min_df, max_df)
+
+
+def _vocabulary(df: DataFrame, counts: DataFrame, max_features: int, min_df: int, max_df: float) -> DataFrame:
     rows = df.select(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        _term_counts(df, row_id, text, stop_words)
+        counts
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * rows))
@@ -74,13 +80,15 @@ def tfidf(
 ) -> DataFrame:
     """L2-normalised weights; rows without a vocabulary term have none.
 
-    The vocabulary holds at most max_features rows, so it is broadcast; the one shuffle carries
-    each row's own weights to their norm.
+    Terms are counted once and persisted (memory and disk) for the vocabulary and the weights. The
+    vocabulary holds at most max_features rows and is broadcast if these are few; the one shuffle
+    carries each row's own weights to their norm.
     """
-    vocab = vocabulary(df, row_id, text, stop_words, max_features, min_df, max_df)
+    counts = _term_counts(df, row_id, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = _vocabulary(df, counts, max_features, min_df, max_df).select("term", "idf")
     weights = (
-        _term_counts(df, row_id, text, stop_words)
-        .join(F.broadcast(vocab.select("term", "idf")), "term")
+        counts
+        .join(F.broadcast(vocab) if max_features <= bounded.MAX_ROWS else vocab, "term")
         .select(row_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
     )
     per_row = weights.groupBy(row_id).agg(

@@ -15,12 +15,11 @@ DISTRIBUTIONS = [("comment_score", 50), ("compound_sentiment", 30), ("word_count
 COMPARED = ["word_count", "compound_sentiment", "comment_score"]
 PERIOD_METRICS = ["comment_score", "compound_sentiment"]
 TYPE_METRICS = ["comment_score", "compound_sentiment", "word_count"]
-SELECTED_TYPES = ["Player Transfer", "Other", "Tournament Result", "Ranking Update"]
 WEEKDAY_METRICS = ["comment_score", "compound_sentiment"]
 
 
-def report(df: DataFrame, selected_types: Sequence[str] = SELECTED_TYPES) -> dict[str, DataFrame]:
-    """Table name -> table. Tables whose columns are missing are left out.
+def report(df: DataFrame, selected_types: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Table name -> table. Tables whose columns are missing are left out; no selection means all types.
 
     The input is persisted (memory and disk), since every table reads it; unpersist it when done.
     """

@@ -11,9 +11,9 @@ from threadtide.schema import RAW
 from threadtide.sources.events import event_dimension
 from threadtide.sources.tables import spread
 from workload import views
-from workload.features import LEMMA_SQL, LEXICON, LETTER, POST_TYPES, TOKENS_SQL, WS, word_sql, words_sql
+from workload.features import SENTIMENT_SQL, clean_sql, LEMMA_SQL, LEXICON, LETTER, POST_TYPES, TOKENS_SQL, WS, word_sql, words_sql
 from workload.registry import query
-from workload.views import LABELLED_SQL, PERIOD_SQL, table
+from workload.views import LABELLED_SQL, PERIOD_SQL, POST_EVENTS_SQL, table
 
 WORDS = prepare.Dictionaries(
     lexicon=LEXICON, teams=["then"], players=["thing"], heroes=["worthless", "stupid"], event_words=["license"], post_types=POST_TYPES,
@@ -43,12 +43,13 @@ def raw_comments(spark, sf_dir):
 POST_TYPE_CASE = " ".join(
     "WHEN " + " OR ".join(f"contains(title, '{k}')" for k in keys) + f" THEN '{kind}'" for kind, keys in POST_TYPES.items()
 )
-FEATURE_SQL = f"""WITH {LABELLED_SQL},
+FEATURE_HEAD = f"""WITH {LABELLED_SQL},
   tokens AS (SELECT *, list_filter({TOKENS_SQL}, lambda t: t <> '' AND NOT list_contains({words_sql(STOP_WORDS)}, t)) AS k,
              {AUTHOR_SQL} AS author FROM documents),
   raw AS (SELECT doc_id, text, n_chars, array_to_string(list_transform(k, lambda t: {LEMMA_SQL}), ' ') AS p, author, lower(o_orderpriority || ' ' || lang || ' ' || source) AS title,
           floor(o_totalprice)::BIGINT AS post_score, user_id, ts, event_name, start_ts, end_ts, pre_start_ts, post_end_ts
-          FROM tokens JOIN orders ON o_orderkey = doc_id JOIN labelled ON event_id = doc_id)
+          FROM tokens JOIN orders ON o_orderkey = doc_id JOIN labelled ON event_id = doc_id)"""
+FEATURE_SQL = FEATURE_HEAD + f"""
 SELECT doc_id::VARCHAR AS comment_id, event_name, md5(p) AS digest, length(text) AS char_count,
   len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '')) AS word_count, {PERIOD_SQL} AS time_period,
   floor((epoch_us(ts) - epoch_us(start_ts)) / 86400000000)::BIGINT AS days_from_event_start, contains(text, '?') AS contains_question,
@@ -71,7 +72,15 @@ def _(spark, sf_dir):
     )
 
 
-@query("prepare_sentiment")
+PROCESSED_SENTIMENT = SENTIMENT_SQL.replace(
+    f"words AS (SELECT doc_id, list_filter(string_split({clean_sql('text')}, ' '), lambda t: length(t) > 1) AS w FROM documents)",
+    "words AS (SELECT doc_id, list_filter(string_split(p, ' '), lambda t: length(t) > 1) AS w FROM (SELECT DISTINCT doc_id, p FROM raw))",
+)
+
+
+@query("prepare_sentiment", f"""{FEATURE_HEAD}, scores AS ({PROCESSED_SENTIMENT})
+SELECT doc_id::VARCHAR AS comment_id, event_name, neg_sentiment, neu_sentiment, pos_sentiment, compound_sentiment
+FROM raw JOIN scores USING (doc_id) WHERE (author IS NULL OR author <> '[deleted]') AND p <> ''""")
 def _(spark, sf_dir):
     features = prepare.enrich(prepare.clean(raw_comments(spark, sf_dir), WORDS), WORDS)
     return features.select("comment_id", "event_name", "neg_sentiment", "neu_sentiment", "pos_sentiment", "compound_sentiment")
@@ -86,3 +95,40 @@ UNION ALL SELECT 1, 'blank body', n0, n0, 0 FROM s UNION ALL SELECT 2, 'deleted
 UNION ALL SELECT 3, 'empty processed body', n1, n2, n1 - n2 FROM s""")
 def _(spark, sf_dir):
     return prepare.audit(raw_comments(spark, sf_dir), WORDS)
+
+
+JOB_SQL = f"""WITH {POST_EVENTS_SQL},
+  matched AS (SELECT * FROM post_events, orders WHERE contains(lower(o_orderpriority || ' ' || o_orderstatus), query)
+              QUALIFY row_number() OVER (PARTITION BY event_name ORDER BY o_totalprice DESC, o_orderkey) <= 1000),
+  chosen AS (SELECT * FROM matched WHERE o_orderdate BETWEEN start_ts AND end_ts
+             QUALIFY row_number() OVER (PARTITION BY event_name ORDER BY o_totalprice DESC, o_orderkey) <= 15),
+  best AS (SELECT *, l_orderkey * 10 + l_linenumber AS comment_id FROM chosen JOIN lineitem ON l_orderkey = o_orderkey JOIN documents ON doc_id = l_suppkey
+           QUALIFY row_number() OVER (PARTITION BY event_name, o_orderkey ORDER BY l_extendedprice DESC, comment_id, l_shipdate) <= 50),
+  once AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY event_name, comment_id ORDER BY o_totalprice DESC, o_orderkey, l_shipdate, text) = 1),
+  tokens AS (SELECT *, list_filter({TOKENS_SQL}, lambda t: t <> '' AND NOT list_contains({words_sql(STOP_WORDS)}, t)) AS k FROM once),
+  raw AS (SELECT *, array_to_string(list_transform(k, lambda t: {LEMMA_SQL}), ' ') AS p, l_shipdate AS ts,
+          start_ts - INTERVAL 7 DAY AS pre_start_ts, end_ts + INTERVAL 5 DAY AS post_end_ts FROM tokens)
+SELECT comment_id::VARCHAR AS comment_id, event_name, md5(p) AS digest, length(text)::BIGINT AS char_count, {PERIOD_SQL} AS time_period,
+  floor((epoch_us(ts) - epoch_us(start_ts)) / 86400000000)::BIGINT AS days_from_event_start, dayname(ts) AS comment_day_of_week
+FROM raw WHERE p <> ''"""
+
+
+@query("prepare_job", JOB_SQL)
+def _(spark, sf_dir):
+    """Collection, cleaning and enrichment in one plan: orders as posts, line items with a document as comments."""
+    fixed = {"post_url": "u", "post_author": "p", "link_flair_text": "f", "permalink": "/"}
+    posts = views.posts(spark, sf_dir).select(
+        F.col("post_id").cast("string").alias("post_id"), "post_created_utc", "post_score", "post_title", "selftext",
+        F.lit(1).alias("post_num_comments"), F.lit(0.5).alias("upvote_ratio"), F.lit(True).alias("is_self"),
+        *[F.lit(v).alias(c) for c, v in fixed.items()],
+    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("l_suppkey"), F.col("text").alias("comment_body"))
+    comments = views.comments(spark, sf_dir).join(docs, "l_suppkey").select(
+        F.col("post_id").cast("string").alias("post_id"), "comment_id", "comment_created_utc", "comment_score", "comment_body",
+        F.lit("someone").alias("comment_author"), F.lit("/").alias("comment_permalink"),
+    )
+    features = prepare.prepare(posts, comments, event_dimension(spark, views.POST_EVENTS), WORDS)
+    return features.select(
+        F.col("comment_id").cast("string").alias("comment_id"), "event_name", F.md5("processed_comment_body").alias("digest"),
+        F.col("char_count").cast("bigint").alias("char_count"), "time_period", "days_from_event_start", "comment_day_of_week",
+    )

@@ -81,7 +81,9 @@ def _(spark, sf_dir):
     return _slot_sums(model, rows, 3)
 
 
-@query("l05_text_block")
+@query("l05_text_block", f"""WITH {TERMS_SQL}, weights AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
+  unit AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM weights)
+SELECT 'text__' || term AS name, round(sum(u * u), 6) AS total FROM unit GROUP BY term""")
 def _(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return _slot_sums(features.fit_features(docs, text="text"), docs, 6)
@@ -211,7 +213,15 @@ def _(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("first") - F.col("prediction"))).alias("largest_gap"))
 
 
-@query("l17_leak_guard")
+LEAK_SQL = """WITH t AS (SELECT l_extendedprice AS y, o_totalprice AS a, CASE WHEN l_shipdate > o_orderdate
+    THEN l_extendedprice / ((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000::DOUBLE) ELSE l_extendedprice END AS b
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  c AS (SELECT count(*) AS n, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab FROM t)
+SELECT 'with leak' AS inputs, 'comment_score_per_day' AS flagged, n, round((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab), 4) AS r2 FROM c
+UNION ALL SELECT 'without', '', n, round(ya * ya, 4) FROM c"""
+
+
+@query("l17_leak_guard", LEAK_SQL)
 def _(spark, sf_dir):
     from threadtide.functions.numeric import score_per_day
 

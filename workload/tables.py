@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadtide.operators import correlation, distribution, hypothesis, summary
+from threadtide.functions import temporal
+from threadtide.operators import correlation, distribution, hypothesis, summary, threads
 from threadtide.plans import report as reports
 from threadtide.schema import PERIODS, WEEKDAYS
+from threadtide.sources.events import event_dimension
 from threadtide.sources.tables import spread
 from workload import views
 from workload.registry import query
-from workload.views import LABELLED_SQL, rounded, table
+from workload.views import EVENTS_SQL, LABELLED_SQL, rounded, table
 
 SUMMARY = """round(avg({v}), {p}) AS mean, round(stddev_samp({v}), {p}) AS std, round(quantile_cont({v}, 0.5), {p}) AS median, count({v}) AS count,
   round(avg({v}) - stddev_samp({v}), {p}) AS lower_bound, round(avg({v}) + stddev_samp({v}), {p}) AS upper_bound"""
@@ -348,24 +350,65 @@ def _(spark, sf_dir):
     return rounded(correlation.correlation_matrix(_correlated(spark, sf_dir), CORRELATED))
 
 
-@query("q05_interpretation")
+# p of a t statistic: one minus twice Simpson's sum of the density from 0 to |t|.
+TAIL_SQL = """(SELECT 1 - 2 * sum(w * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + x * x / df) ** (-(df + 1) / 2)) FROM
+  (SELECT abs(t) * i / 4000 AS x, abs(t) / 12000 * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(4001) r(i)))"""
+INTERPRETED_SQL = f"""WITH s AS (SELECT avg(value) FILTER (event_type = 'click') AS m1, avg(value) FILTER (event_type = 'error') AS m2,
+    var_samp(value) FILTER (event_type = 'click') / count(value) FILTER (event_type = 'click') AS e1, var_samp(value) FILTER (event_type = 'error') / count(value) FILTER (event_type = 'error') AS e2,
+    count(value) FILTER (event_type = 'click') AS n1, count(value) FILTER (event_type = 'error') AS n2 FROM events),
+  t AS (SELECT *, (m1 - m2) / sqrt(e1 + e2) AS t, (e1 + e2) ** 2 / (e1 ** 2 / (n1 - 1) + e2 ** 2 / (n2 - 1)) AS df FROM s), p AS (SELECT *, {TAIL_SQL} AS p FROM t)
+SELECT 'completed' AS status, round(p, 6) AS p_value, printf(CASE WHEN p < 0.05 THEN 'value differs significantly (p=%.3f) between click (mean %.2f) and error (mean %.2f).'
+  ELSE 'value does not differ significantly (p=%.3f) between click (mean %.2f) and error (mean %.2f).' END, p, m1, m2) AS interpretation FROM p"""
+
+
+@query("q05_interpretation", INTERPRETED_SQL)
 def _(spark, sf_dir):
     df = views.activity(spark, sf_dir)
-    return hypothesis.t_test(df, "event_type", "value", "click", "error").select("status", "p_value", "interpretation")
+    row = hypothesis.t_test(df, "event_type", "value", "click", "error")
+    return row.select("status", F.round("p_value", 6).alias("p_value"), "interpretation")
+
+
+# Activity under the battery's columns: four windows as events, two flags.
+BATTERY_EVENTS = ["E1", "E2", "E3", "E4"]
+BATTERY_TABLE = f"""WITH {EVENTS_SQL}, four AS (SELECT * FROM events_dim
+    UNION ALL SELECT 'E3', start_ts + INTERVAL 4 DAY, end_ts + INTERVAL 6 DAY, pre_start_ts, post_end_ts FROM events_dim WHERE event_name = 'E1'
+    UNION ALL SELECT 'E4', start_ts - INTERVAL 5 DAY, end_ts - INTERVAL 5 DAY, pre_start_ts, post_end_ts FROM events_dim WHERE event_name = 'E2'),
+  rows_ AS (SELECT event_name, {views.PERIOD_SQL} AS time_period, value AS comment_score, value / 100 - length(event_type) / 10.0 AS compound_sentiment, event_type AS post_type,
+    user_id % 3 = 0 AS contains_question, event_id % 2 = 0 AS contains_team_name FROM events CROSS JOIN four
+    WHERE event_name = 'E1' OR hour(ts) >= CASE event_name WHEN 'E2' THEN 3 WHEN 'E3' THEN 7 ELSE 11 END)"""
+
+
+def _battery_rows(spark, sf_dir):
+    first = event_dimension(spark, views.ACTIVITY_EVENTS)
+    moved = lambda name, of, a, b: first.where(F.col("event_name") == of).select(
+        F.lit(name).alias("event_name"), "query", (F.col("start_ts") + F.expr(f"INTERVAL {a} DAYS")).alias("start_ts"),
+        (F.col("end_ts") + F.expr(f"INTERVAL {b} DAYS")).alias("end_ts"), "pre_start_ts", "post_end_ts",
+    )
+    events = first.unionByName(moved("E3", "E1", 4, 6)).unionByName(moved("E4", "E2", -5, -5))
+    rows = threads.pair_with_events(views.activity(spark, sf_dir), events)
+    from_hour = F.when(F.col("event_name") == "E2", 3).when(F.col("event_name") == "E3", 7).otherwise(11)
+    return rows.where((F.col("event_name") == "E1") | (F.hour("ts") >= from_hour)).select(
+        "event_name", temporal.period_label("ts", "start_ts", "end_ts", "pre_start_ts", "post_end_ts").alias("time_period"),
+        F.col("value").alias("comment_score"), (F.col("value") / 100 - F.length("event_type") / 10).alias("compound_sentiment"),
+        F.col("event_type").alias("post_type"), (F.col("user_id") % 3 == 0).alias("contains_question"), (F.col("event_id") % 2 == 0).alias("contains_team_name"),
+    )
 
 
-BATTERY = [("t_test", "time_period", "comment_score", "Before Event", "After Event"), ("anova", "time_period", "comment_score"),
-           ("anova", "post_type", "comment_score"), ("chi2", "time_period", "post_type")]
+def _battery_sql() -> str:
+    out = []
+    for i, (kind, *args) in enumerate(reports.standard_battery(BATTERY_EVENTS)):
+        if kind == "t_test":
+            part = f"SELECT status, t_statistic AS s FROM ({WELCH_SQL.format(t='rows_', g=args[0], v=args[1], a=args[2], b=args[3])})"
+        elif kind == "anova":
+            part = f"SELECT status, f_statistic AS s FROM ({ANOVA_SQL.format(t='rows_', g=args[0], v=args[1])})"
+        else:
+            part = f"""SELECT 'completed' AS status, round(sum((observed - expected) ** 2 / expected), 6) AS s FROM
+              ({EXPECTED_SQL.format(t='rows_', a=args[0], b=args[1])} SELECT * FROM c)"""
+        out.append(f"SELECT {i} AS test_no, '{kind}' AS test, status, s AS statistic FROM ({part})")
+    return BATTERY_TABLE + " " + " UNION ALL ".join(out)
 
 
-@query("q06_battery", f"""WITH {LABELLED_SQL}
-SELECT 0 AS test_no, 't_test' AS test, status, t_statistic AS statistic FROM ({WELCH_SQL.format(t="labelled", g="time_period", v="value", a="Before Event", b="After Event")})
-UNION ALL SELECT 1, 'anova', status, f_statistic FROM ({ANOVA_SQL.format(t="labelled", g="time_period", v="value")})
-UNION ALL SELECT 2, 'anova', status, f_statistic FROM ({ANOVA_SQL.format(t="labelled", g="event_type", v="value")})
-UNION ALL SELECT 3, 'chi2', 'completed', (SELECT round(sum((observed - expected) ** 2 / expected), 6) FROM
-  (WITH o AS (SELECT time_period, event_type, count(*) AS n FROM labelled GROUP BY ALL)
-   SELECT coalesce(n, 0) AS observed, (SELECT sum(n) FROM o x WHERE x.time_period = ra.time_period) * (SELECT sum(n) FROM o x WHERE x.event_type = cb.event_type)::DOUBLE
-     / (SELECT sum(n) FROM o) AS expected FROM (SELECT DISTINCT time_period FROM o) ra CROSS JOIN (SELECT DISTINCT event_type FROM o) cb LEFT JOIN o USING (time_period, event_type)))""")
+@query("q06_battery", _battery_sql())
 def _(spark, sf_dir):
-    rows = reports.run_battery(_report_rows(spark, sf_dir), BATTERY)
+    rows = reports.run_battery(_battery_rows(spark, sf_dir), reports.standard_battery(BATTERY_EVENTS))
     return rows.select("test_no", "test", "status", F.round("statistic", 6).alias("statistic"))
