@@ -25,7 +25,7 @@ SIZE = 5
 THRESHOLD = 0.8
 RECALL = 0.9998
 #: Classes in one block of a large bucket.
-BLOCK = 128
+BLOCK = 256
 #: Distinct n-grams in one step of the block product.
 COLUMNS = 4096
 
