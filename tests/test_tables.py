@@ -27,7 +27,9 @@ def sample(seed=1, n=600):
 PROBS, NAMES = [0.0, 0.25, 0.5, 0.9, 1.0], ["p0", "p25", "p50", "p90", "p100"]
 
 
-@pytest.mark.parametrize("options", [{}, {"max_local_groups": 2}, {"max_bucket_rows": 3}])
+@pytest.mark.parametrize("options", [
+    {}, {"max_group_rows": 0}, {"max_group_rows": 0, "max_local_groups": 2}, {"max_group_rows": 0, "max_bucket_rows": 3},
+])
 def test_quantiles_are_exact(spark, options):
     rows = sample()
     df = spark.createDataFrame(rows, "g string, v double")
@@ -51,10 +53,24 @@ def test_quantiles_are_exact(spark, options):
 def test_quantiles_of_extremes(spark):
     vs = [math.inf, -math.inf, 1.7e308, 5e-324, -5e-324, 0.0, -0.0, 2.0]
     df = spark.createDataFrame([(v,) for v in vs], "v double")
-    row = quantiles.grouped_quantiles(df.where("v < 1e307 and v > -1e307"), [], "v", [0.5], ["m"]).first()
+    row = quantiles.grouped_quantiles(df.where("v < 1e307 and v > -1e307"), [], "v", [0.5], ["m"], max_group_rows=0).first()
     assert row["m"] == pytest.approx(0.0, abs=1e-300)
 
 
+def test_times_in_one_bucket(spark):
+    base = 1.7e9
+    df = spark.range(5000).select(F.lit("g").alias("g"), (F.lit(base) + F.col("id") * 1e-6).alias("v"))
+    for limits in ({}, {"max_group_rows": 0}, {"max_group_rows": 0, "max_bucket_rows": 10}):
+        row = quantiles.grouped_quantiles(df, ["g"], "v", [0.5], ["m"], **limits).first()
+        assert row["m"] == pytest.approx(base + 2499.5e-6, abs=3e-7)
+
+
+def test_many_groups_take_one_pass(spark):
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = plan_of(quantiles.grouped_quantiles(df, ["g"], "v", [0.5], ["m"]))
+    assert "Window" not in plan and plan.count("Range (") == 1
+
+
 def test_buckets_keep_order(spark):
     rng = random.Random(3)
     vs = sorted({rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(3000)} | {0.0} | {2.0 ** k for k in range(-50, 50)})

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadtide.functions.numeric import known
@@ -19,6 +20,8 @@ from threadtide.operators import bounded
 
 STEPS = 256
 FINE_STEPS = 65_536
+# Rows of one group whose values a single task may hold in a hash map.
+MAX_GROUP_ROWS = 1_000_000
 # Rows of one bucket that a single task may rank.
 MAX_BUCKET_ROWS = 20_000_000
 EXPONENT_SHIFT = 1100
@@ -99,9 +102,12 @@ def _fullest_bucket(stats: DataFrame, small: bool, n_probs: int) -> int:
 
 @dataclass(frozen=True)
 class Located:
-    """What the first pass found: moments and rank places per group, and how finely it looked."""
+    """What the first pass found: moments and rank places per group, and how finely it looked.
 
-    stats: DataFrame
+    Without stats every group fits one task.
+    """
+
+    stats: DataFrame | None
     small: bool
     steps: int
 
@@ -113,15 +119,28 @@ def locate(
     probs: Sequence[float],
     max_local_groups: int = bounded.MAX_ROWS,
     max_bucket_rows: int = MAX_BUCKET_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> Located:
-    """Run the first pass. Up to max_local_groups group rows are kept as a local relation."""
+    """Run the first pass. Up to max_local_groups group rows are kept as a local relation, more are persisted."""
+    sizes = _values(df, keys, value).groupBy(*keys).agg(F.count("_v").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= max_group_rows:
+        return Located(None, False, STEPS)
     stats, small = bounded.materialize_small(group_moments(df, keys, value, probs), max_local_groups)
+    if not small:
+        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
     if probs and _fullest_bucket(stats, small, len(probs)) > max_bucket_rows:
         fine = group_moments(df, keys, value, probs, FINE_STEPS)
         return Located(*bounded.materialize_small(fine, max_local_groups), FINE_STEPS)
     return Located(stats, small, STEPS)
 
 
+def _built_in(values: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """The same columns for groups that fit a task each."""
+    moments = [F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
+    rows = values.groupBy(*keys).agg(*moments, F.percentile("_v", [float(p) for p in probs] or [0.5]).alias("_q"))
+    return rows.where("count > 0").select(*keys, "count", "mean", "std", "min", "max", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -141,6 +160,8 @@ def grouped_quantiles(
     found = located or locate(df, keys, value, probs, **limits)
     stats, small = found.stats, found.small
     base = ["count", "mean", "std", "min", "max"]
+    if stats is None:
+        return _built_in(_values(df, keys, value), keys, probs, names)
     if not probs:
         return stats.select(*keys, *base)
     hint = F.broadcast if small else (lambda side: side)
