@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadtide.operators import attribution, models
 from threadtide.operators.features import default_roles, leaking
-from threadtide.operators.splits import split_flag, with_fold
+from threadtide.operators.splits import split_flag, with_folds
 from threadtide.operators.summary import require_text
 from threadtide.schema import TARGET
 
@@ -49,13 +49,14 @@ def train(
     """Linear and boosted models with test scores, fold scores, random search and attribution.
 
     drop_leaking leaves out features that are computed from the target. refit_on_all refits the
-    tuned model on all rows, test rows included; such test scores say nothing about new rows.
+    tuned model on all rows, test rows included; such test scores say nothing about new rows. The
+    input is read once and persisted (memory and disk) until the models are done.
     """
     roles = roles or default_roles(df, drop_leaking)
     if roles.get("text"):
         require_text(df, roles["text"])
-    folded = with_fold(with_fold(split_flag(df, row_id, seed=seed), order, cv_folds, "cv_fold"), order, search_folds, "search_fold")
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = with_folds(split_flag(df, row_id, seed=seed), order, {"cv_fold": cv_folds, "search_fold": search_folds})
     train_rows, test_rows = folded.where(~F.col("is_test")), folded.where("is_test")
     metrics: dict[str, dict[str, float]] = {}
 
@@ -73,7 +74,8 @@ def train(
 
     candidates = models.draw_params(draws, search_space, seed)
     searched = folded if refit_on_all else train_rows
-    best, table = models.random_search(searched, boosted_fit, target, candidates, "search_fold", parallelism)
+    make = lambda params: models.boosted_trees(target, seed=seed, **params)
+    best, table = models.random_search(searched, make, roles, target, candidates, "search_fold", parallelism)
     tuned_fit = boosted_fit(best)
     tuned = tuned_fit(searched)
     evaluate("boosted_tuned", tuned, tuned_fit)

@@ -140,8 +140,8 @@ def _(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("one", F.lit(1.0))
     folded = splits.with_fold(rows, ["p_partkey"], models.SEARCH_FOLDS).persist()
     space = {**models.SEARCH_SPACE, "maxIter": ("int", 2, 5), "maxDepth": ("int", 2, 4)}
-    make = lambda params: models.fit_with_features(models.boosted_trees("p_retailprice", **params), numeric=["p_partkey", "p_size"])
-    best, found = models.random_search(folded, make, "p_retailprice", models.draw_params(2, space))
+    make = lambda params: models.boosted_trees("p_retailprice", **params)
+    best, found = models.random_search(folded, make, {"numeric": ["p_partkey", "p_size"]}, "p_retailprice", models.draw_params(2, space))
     return found.select("candidate", "params", "mean_r2", "std_r2", (F.col("params")["maxIter"] == str(best["maxIter"])).alias("is_best"))
 
 
