@@ -36,7 +36,7 @@ BOOSTERS = {
     **dict.fromkeys(
         "almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split(), -1),
 }
-# A lexicon in the plan is a literal; larger tables are refused rather than shipped to every task.
+# A lexicon in the plan is a literal; larger tables are joined.
 MAX_TERMS = 50_000
 
 
@@ -51,7 +51,7 @@ class Lexicon:
         """Read a (term, valence) table after checking its size."""
         rows = df.select(term, F.col(valence).cast("double")).limit(MAX_TERMS + 1).toArrow().to_pydict()
         if len(rows[term]) > MAX_TERMS:
-            raise ValueError(f"lexicon has more than {MAX_TERMS} terms")
+            raise ValueError(f"lexicon has more than {MAX_TERMS} terms: use add_sentiment_with_table")
         return cls(dict(zip(rows[term], rows[valence])))
 
 
@@ -67,33 +67,33 @@ def _lookup(token: Column, table: Mapping[str, float], default: float) -> Column
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
-def _hit_valence(tokens: Column, i: Column, lexicon: Lexicon, terms: list[str]) -> Column:
-    """Valence of the term at i after the three tokens before it have acted on it."""
+def _hit_valence(tokens: Column, valences: Column, i: Column, lexicon: Lexicon) -> Column:
+    """Valence of the term at i after the three tokens before it have acted on it; terms do not act."""
     def step(v: Column, d: Column) -> Column:
         word = F.get(tokens, i - d)
-        acts = ~word.isin(terms)
+        acts = F.get(valences, i - d).isNull()
         damp = F.get(F.array(*[F.lit(x) for x in DAMPING]), d - 1)
         shift = damp * BOOST * _lookup(word, lexicon.boosters, 0.0) * F.signum(v)
         flips = word.isin(list(lexicon.negators))
         return F.when(acts, (v + shift) * F.when(flips, NEGATION).otherwise(1.0)).otherwise(v)
 
-    start = _lookup(F.get(tokens, i), lexicon.valence, 0.0)
-    value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, step)
+    value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.get(valences, i), step)
     return value * F.when(F.get(tokens, i - 1) == "least", NEGATION).otherwise(1.0)
 
 
-def sentiment(text: Column, lexicon: Lexicon) -> Column:
-    """Struct (neg, neu, pos, compound) of a text; a text without tokens gives four zeros."""
-    terms = [t for t in lexicon.valence if t not in lexicon.boosters]
-    lexicon = Lexicon({t: lexicon.valence[t] for t in terms}, lexicon.boosters, lexicon.negators)
-    split = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda t: F.length(t) > 1)
-    total = lambda values, part: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + part(v))
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda t: F.length(t) > 1)
+
 
-    def valences(tokens: Column) -> Column:
-        positions = F.array_compact(F.transform(tokens, lambda t, i: F.when(t.isin(terms), i)))
-        return F.transform(positions, lambda i: _hit_valence(tokens, i, lexicon, terms))
+def _score(tokens: Column, valences: Column, lexicon: Lexicon) -> Column:
+    """Struct (neg, neu, pos, compound) from a text's tokens and, beside each, its valence or null."""
+    total = lambda values, part: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + part(v))
 
-    def sums(tokens: Column, values: Column) -> Column:
+    def hits(vals: Column) -> Column:
+        positions = F.array_compact(F.transform(vals, lambda v, i: F.when(v.isNotNull(), i)))
+        return F.transform(positions, lambda i: _hit_valence(tokens, vals, i, lexicon))
+
+    def sums(values: Column) -> Column:
         return F.struct(
             total(values, lambda v: v).alias("s"),
             total(values, lambda v: F.when(v > 0, v + 1).otherwise(0.0)).alias("p"),
@@ -103,13 +103,20 @@ def sentiment(text: Column, lexicon: Lexicon) -> Column:
 
     def shares(x: Column) -> Column:
         size = x["p"] + x["n"] + x["u"]
-        share = lambda part: F.when(size > 0, F.round(part / size, 3)).otherwise(0.0)
+        share = lambda part: F.when(size > 0, F.round(part / size, 3)).otherwise(0.0)
         return F.struct(
             share(x["n"]).alias("neg"), share(x["u"]).alias("neu"), share(x["p"]).alias("pos"),
             F.round(x["s"] / F.sqrt(x["s"] * x["s"] + ALPHA), 4).alias("compound"),
         )
 
-    return bind(split, lambda tok: bind(bind(valences(tok), lambda val: sums(tok, val)), shares))
+    return bind(bind(bind(valences, hits), sums), shares)
+
+
+def sentiment(text: Column, lexicon: Lexicon) -> Column:
+    """Struct (neg, neu, pos, compound) of a text; a text without tokens gives four zeros."""
+    terms = {t: v for t, v in lexicon.valence.items() if t not in lexicon.boosters}
+    value = lambda t: F.when(t.isin(list(terms)), _lookup(t, terms, 0.0))
+    return bind(_tokens(text), lambda tok: _score(tok, F.transform(tok, value), lexicon))
 
 
 def add_sentiment(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
@@ -117,3 +124,25 @@ def add_sentiment(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     scored = df.withColumn("_score", sentiment(F.col(text), lexicon))
     parts = ["neg", "neu", "pos", "compound"]
     return scored.withColumns({f"{p}_sentiment": F.col("_score")[p] for p in parts}).drop("_score")
+
+
+def add_sentiment_with_table(
+    df: DataFrame, row_id: str, text: str, terms: DataFrame, term: str = "term", valence: str = "valence",
+    boosters: Mapping[str, int] = BOOSTERS, negators: tuple[str, ...] = tuple(NEGATORS),
+) -> DataFrame:
+    """The columns of ``add_sentiment`` from a (term, valence) table of any size; row_id must be unique.
+
+    Tokens meet the table in a left join and return to their row in their old order. A term that stands
+    twice counts with its larger valence.
+    """
+    rules = Lexicon({}, boosters, negators)
+    table = terms.select(F.col(term).alias("_token"), F.col(valence).cast("double").alias("_valence")).where(
+        F.col("_valence").isNotNull() & ~F.col("_token").isin(list(boosters))
+    ).groupBy("_token").agg(F.max("_valence").alias("_valence"))
+    spread = df.select(row_id, F.posexplode(_tokens(F.col(text))).alias("_at", "_token")).join(table, "_token", "left")
+    rows = spread.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_at", "_token", "_valence"))).alias("_all"))
+    empty = F.array().cast("array<struct<_at:int,_token:string,_valence:double>>")
+    scored = df.join(rows, row_id, "left").withColumn("_all", F.coalesce("_all", empty))
+    score = bind(F.col("_all"), lambda x: _score(x["_token"], x["_valence"], rules))
+    scored = scored.withColumn("_score", score)
+    return scored.withColumns({f"{p}_sentiment": F.col("_score")[p] for p in ("neg", "neu", "pos", "compound")}).drop("_score", "_all")

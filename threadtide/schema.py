@@ -11,6 +11,7 @@ WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 # Fixed value: marker of a deleted author.
 DELETED_AUTHOR = "[deleted]"
 
+# Names and types of the fields of posts, comments and derived features.
 POST_FIELDS = [
     T.StructField("post_id", T.StringType()),
     T.StructField("post_title", T.StringType()),

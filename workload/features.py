@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadtide.functions import numeric, temporal, text
-from threadtide.functions.lexicon import Lexicon, add_sentiment
+from threadtide.functions.lexicon import Lexicon, add_sentiment, add_sentiment_with_table
 from threadtide.functions.text import STOP_WORDS
 from threadtide.operators import threads
 from threadtide.operators.lemmas import lemmatize_with_table
@@ -123,6 +123,15 @@ def _(spark, sf_dir):
     return add_sentiment(cleaned, "c", LEXICON).drop("c")
 
 
+@query("t03_large_lexicon", SENTIMENT_SQL)
+def _(spark, sf_dir):
+    # a lexicon beyond any literal: the table is joined
+    filler = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("filler"), "l_orderkey", "l_linenumber").alias("term"), F.lit(1.0).alias("valence"))
+    terms = spark.createDataFrame(list(LEXICON.valence.items()), "term string, valence double").unionAll(filler)
+    cleaned = docs(spark, sf_dir).select("doc_id", text.clean_text("text").alias("c"))
+    return add_sentiment_with_table(cleaned, "doc_id", "c", terms, boosters=LEXICON.boosters, negators=LEXICON.negators).drop("c")
+
+
 @query("t04_text_length", f"""SELECT doc_id, length(text) AS char_count,
   len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda t: t <> '')) AS word_count FROM documents""")
 def _(spark, sf_dir):
