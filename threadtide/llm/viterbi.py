@@ -19,7 +19,7 @@ from threadtide.llm.pieces import MODEL_FILE, Pieces, load
 
 #: Segments that one task remembers in each of two generations.
 MEMO = 150_000
-#: Positions between two looks for a common boundary.
+#: Positions between two looks for a common boundary; twice as many as are open if the last look found none.
 CHECK_EVERY = 64
 #: Longer segments are not remembered.
 MEMO_CHARS = 64
@@ -32,6 +32,7 @@ def search(text: str, pieces: Pieces) -> list[int]:
     base, n = 0, len(text)  # everything before base is committed
     best: list[float] = [0.0]
     back: list[tuple[int, int]] = [(0, -1)]  # start and id of the piece that ends here, counted from base
+    look = CHECK_EVERY + longest
     for at in range(n):
         here = at - base
         score = best[here]
@@ -48,8 +49,9 @@ def search(text: str, pieces: Pieces) -> list[int]:
             piece = ids.get(part)
             if piece is not None and score + scores[piece] > best[end - base]:
                 best[end - base], back[end - base] = score + scores[piece], (here, piece)
-        if here >= CHECK_EVERY + longest:
+        if here >= look:
             common = _meeting(back, here + 1, min(here + longest, n - base), best)
+            look = here - common + CHECK_EVERY if common else 2 * here  # runs of one piece may not meet before the end
             if common:
                 out += _trace(text, base, back, common, pieces)
                 base += common
@@ -81,12 +83,18 @@ def search_short(text: str, pieces: Pieces) -> list[int]:
 
 def _meeting(back: list[tuple[int, int]], first: int, last: int, best: list[float]) -> int:
     """The last boundary that lies on the back paths of all reached positions from `first` to `last`."""
-    heads = {p for p in range(first, last + 1) if best[p] > float("-inf")}
-    while len(heads) > 1:
-        top = max(heads)
-        heads.remove(top)
-        heads.add(back[top][0])
-    return heads.pop()
+    open_ = bytearray(last + 1)
+    for p in range(first, last + 1):
+        open_[p] = best[p] > float("-inf")
+    count = sum(open_[first:])
+    for p in range(last, 0, -1):
+        if open_[p]:
+            if count == 1:
+                return p
+            start = back[p][0]
+            count -= open_[start]  # two paths become one
+            open_[start] = 1
+    return 0
 
 
 def _trace(text: str, base: int, back: list[tuple[int, int]], end: int, pieces: Pieces) -> list[int]:
