@@ -141,21 +141,26 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected number of times that each piece is used in so many of each word."""
-        out = np.zeros(self.n_pieces + 1)
+        out = np.zeros(self.n_pieces)
         for part, codes in self.groups(words):
             size = codes.shape[1]
             found, lone = self._found(codes)
             weights = self._weights(found, lone, codes, logp)
             alpha, beta = self.forward(weights, size), self.backward(weights, size)
             total = alpha[:, -1:]
+            used, shares = [], []
             for k, ids in enumerate(found):
-                share = np.exp(alpha[:, : size - k] + weights[k] + beta[:, k + 1 :] - total) * counts[part][:, None]
-                out += np.bincount(ids.ravel() + 1, weights=share.ravel(), minlength=len(out))[: len(out)]
+                at = np.nonzero(ids >= 0)
+                share = np.exp(alpha[:, : size - k][at] + weights[k][at] + beta[:, k + 1 :][at] - total[at[0], 0]) * counts[part][at[0]]
+                used.append(ids[at])
+                shares.append(share)
                 if k == 0 and lone.any():
+                    share = np.exp(alpha[:, :size] + weights[0] + beta[:, 1:] - total) * counts[part][:, None]
                     for code, value in zip(codes[lone].tolist(), share[lone].tolist()):
                         for b in self._bytes(code):
-                            out[self.byte_ids[b] + 1] += value
-        return out[1:]
+                            out[self.byte_ids[b]] += value
+            out += np.bincount(np.concatenate(used), weights=np.concatenate(shares), minlength=len(out))
+        return out
 
 
 def _logsum(terms: np.ndarray) -> np.ndarray:
@@ -165,6 +170,19 @@ def _logsum(terms: np.ndarray) -> np.ndarray:
         return np.log(np.exp(terms - safe[:, None]).sum(1)) + safe
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined to larger ones: words of one length are few in a small batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether the row is kept from learning: crc32 of the id as text leaves two when divided by seven (null is an empty id)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -251,7 +269,7 @@ def learn(words: DataFrame, documents: int, lattice, pieces: Pieces, rounds: int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(lattice.value.n_pieces)
-            for batch in batches:
+            for batch in gathered(batches):
                 total += lattice.value.expected(batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float), shared.value)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
@@ -283,7 +301,7 @@ def score(frame: DataFrame, training: Column, key: str = "doc_id", text: str = "
     learned = spark.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             value = lattice.value.scores(batch.column("word").to_pylist(), learned.value.logp)
             yield pa.RecordBatch.from_arrays([batch.column("word_hash"), batch.column("n"), pa.array(value)], ["word_hash", "n", "value"])
 
