@@ -29,7 +29,7 @@ ROUNDS = 3
 PRIOR = 0.02
 #: Bytes of text in a block, and words that are reduced to distinct ones at a time.
 BLOCK_BYTES = 32 << 20
-FLUSH_WORDS = 3_000_000
+FLUSH_WORDS = 1_000_000
 #: Words whose lattices are computed together; longer words go through one at a time.
 CHUNK, LONG = 2048, 48
 _LOG10 = math.log(10)
@@ -170,7 +170,7 @@ def _logsum(terms: np.ndarray) -> np.ndarray:
         return np.log(np.exp(terms - safe[:, None]).sum(1)) + safe
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Batches joined to larger ones: words of one length are few in a small batch."""
     held, size = [], 0
     for batch in batches:
