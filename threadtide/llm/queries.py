@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadtide.llm import compact, hostarray, jaccard, lattice, lempelziv, licenses, tiling, toxicity, urlfilter, viterbi
+from threadtide.llm import chunked, compact, hostarray, idfile, jaccard, lattice, lempelziv, licenses, prefixtrie, tiling, toxicity, urlfilter, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from threadtide.llm.shared import scratch
 
 
 @query("op7_toxicity")
@@ -65,3 +66,16 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lattice.score(table(spark, sf_dir, "documents"), ~lattice.held_out())
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "pieces_score")
+
+
+@query("op12_token_ids")
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, path = table(spark, sf_dir, "documents"), scratch(spark, "ids")
+    idfile.write(documents, path, chunked.definition())
+    places = idfile.look(documents, path).unionByName(idfile.unkeyed(spark, path))
+    return idfile.read(places, path).withColumnRenamed("key", "doc_id")
+
+
+@query("op13_prefix_trie", prefixtrie.oracle())
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))

@@ -20,3 +20,11 @@ def partitions(spark: SparkSession) -> int:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir."""
     return scratch_path(spark, name)
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """The frame written as Parquet under spark.checkpoint.dir and read again: columnar, compressed, with sizes that plans use."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, "kept")
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
