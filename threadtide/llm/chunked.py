@@ -29,7 +29,7 @@ JOINED = 4000
 class Stretches:
     """Distinct stretches of a batch, the code of each stretch in text order, and the first code of each row."""
 
-    distinct: list[str]
+    distinct: pa.Array
     codes: np.ndarray
     rows: np.ndarray
 
@@ -40,7 +40,7 @@ def stretches(texts: pa.Array, lead: str = "") -> Stretches:
         texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts.cast(pa.large_string()), pa.scalar(lead, pa.large_string()))
     offsets, data = textkit.string_buffers(texts)
     if not len(data):
-        return Stretches([], np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
+        return Stretches(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
     last, before = np.full_like(data, 32), np.full_like(data, 32)
     last[1:], before[2:] = data[:-1], data[:-2]
     cut = (data == 32) & (last > 32) & ~_ends_wide_space(before, last)
@@ -49,10 +49,7 @@ def stretches(texts: pa.Array, lead: str = "") -> Stretches:
     ends = np.append(starts, len(data)).astype(np.int64)
     spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
     coded = spans.dictionary_encode()
-    return Stretches(
-        coded.dictionary.cast(pa.large_string()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-        np.searchsorted(starts, offsets),
-    )
+    return Stretches(coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets))
 
 
 def _ends_wide_space(before: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -71,39 +68,56 @@ class Coder:
         self.pool = np.frombuffer(b"".join(raw), np.uint8)
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
 
-    def many(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def many(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all stretches in a row, and the first id of each (one more entry at the end).
 
         Stretches with a space before and none behind are joined and encoded together; where an id of such a string does
         not end with a stretch or its bytes are other ones, its stretches are encoded one by one.
         """
-        alone = [i for i, s in enumerate(distinct) if s[:1] != " " or s[-1:].isspace()]
-        lone = set(alone)
-        groups: list[list[int]] = []
-        held = JOINED
-        for i, s in enumerate(distinct):
-            if i not in lone:
-                if held >= JOINED:
-                    groups.append([])
-                    held = 0
-                groups[-1].append(i)
-                held += len(s)
-        found: list[np.ndarray | None] = [None] * len(distinct)
-        strings = ["".join(distinct[i] for i in group) for group in groups]
-        for group, string, ids in zip(groups, strings, self.encode(strings) if strings else []):
+        offsets, data = textkit.string_buffers(distinct)
+        if not len(distinct):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        last = offsets[1:] - 1
+        lone = (data[offsets[:-1]] != 32) | (data[last] <= 32) | _ends_wide_space(data[np.maximum(last - 1, 0)], data[last])
+        sizes = np.zeros(len(distinct), np.int64)
+        together = np.flatnonzero(~lone)
+        flat, counts, failed = self._together(distinct.take(pa.array(together)))
+        sizes[together] = counts
+        apart = np.sort(np.concatenate((np.flatnonzero(lone), together[failed])))
+        texts = distinct.take(pa.array(apart)).to_pylist()
+        found = [np.asarray(ids, np.int32) for ids in self.encode(texts)] if texts else []
+        sizes[apart] = [len(f) for f in found]
+        firsts = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(int(firsts[-1]), np.int32)
+        settled = np.zeros(len(distinct), bool)
+        settled[together] = True
+        settled[together[failed]] = False
+        mask = np.repeat(settled, sizes)
+        out[mask] = flat
+        out[~mask] = np.concatenate(found) if found else np.zeros(0, np.int32)
+        return out, firsts
+
+    def _together(self, chosen: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of the stretches that could be encoded together, the number of each one's (0 where not), and the places of the others."""
+        offsets, data = textkit.string_buffers(chosen)
+        n = len(chosen)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        edges = np.unique(np.concatenate(([0], np.searchsorted(offsets, np.arange(0, int(offsets[-1]), JOINED)), [n])))
+        raw = data.tobytes()
+        strings = [raw[a:b] for a, b in zip(offsets[edges[:-1]], offsets[edges[1:]])]
+        parts, counts, failed = [], np.zeros(n, np.int64), []
+        for low, high, string, ids in zip(edges, edges[1:], strings, self.encode([s.decode() for s in strings])):
             ids = np.asarray(ids, np.int32)
-            ends = np.cumsum(self.lengths[ids])
-            wanted = np.cumsum([len(distinct[i].encode()) for i in group])
-            places = np.searchsorted(ends, wanted)
-            if len(ids) and ends[-1] == wanted[-1] and np.array_equal(ends[places], wanted) and self.joined(ids) == string.encode():
-                for i, part in zip(group, np.split(ids, places[:-1] + 1)):
-                    found[i] = part
+            ends, wanted = np.cumsum(self.lengths[ids]), offsets[low + 1 : high + 1] - offsets[low]
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and np.array_equal(ends[at], wanted) and at[-1] == len(ends) - 1 and self.bytes_of(ids).tobytes() == string:
+                parts.append(ids)
+                counts[low:high] = np.diff(at, prepend=-1)
             else:
-                alone += group
-        for i, ids in zip(alone, self.encode([distinct[i] for i in alone]) if alone else []):
-            found[i] = np.asarray(ids, np.int32)
-        sizes = np.array([len(f) for f in found], np.int64)
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.concatenate(([0], np.cumsum(sizes)))
+                failed.append(np.arange(low, high))
+        join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.zeros(0, kind)
+        return join(parts, np.int32), counts, join(failed, np.int64)
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids in a row."""
@@ -113,9 +127,6 @@ class Coder:
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         return self.pool[np.arange(int(sizes.sum())) + np.repeat(self.first[ids] - first, sizes)]
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return self.bytes_of(ids).tobytes()
-
 
 def _byte_alphabet() -> dict[str, int]:
     """Byte of every character that byte-level vocabularies write bytes as: printable Latin-1 stands for itself, the rest follows 255."""
@@ -130,6 +141,12 @@ def definition(path: str = BYTE_BPE) -> str:
         return file.read()
 
 
+def model(path: str = PIECE_BPE) -> bytes:
+    """The bytes of a sentencepiece model."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def byte_bpe(definition: str, plain: bool) -> Coder:
     """A byte-level tokenizer from its JSON text; `plain`: strings of special tokens inside texts are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -157,7 +174,12 @@ def piece_bpe(model: bytes) -> Coder:
     for i in range(processor.get_piece_size()):
         piece = processor.id_to_piece(i)
         raw.append(bytes([int(piece[3:5], 16)]) if processor.is_byte(i) else piece.replace(SPACE, " ").encode())
-    return Coder(lambda texts: processor.encode([t[1:] for t in texts], num_threads=1), raw)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        found = processor.encode([t[1:] for t in texts], num_threads=1)
+        return [ids or [processor.piece_to_id(SPACE)] for ids in found]  # no space is added to nothing
+
+    return Coder(encode, raw)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.Table]:

@@ -42,26 +42,25 @@ def _ranged(frame: DataFrame, order: Sequence[Column]) -> DataFrame:
     return keep(dealt.withColumns({"part": F.shiftright(row, 33).cast("int"), "at": row.bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"))
 
 
-def _running(frame: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def _running(frame: DataFrame, sums: dict[str, Column], spans: DataFrame) -> DataFrame:
     """Running sums of non-null columns along (part, at) within every conv_id, whatever the number of rows of a conversation.
 
-    Few conversations span ranges (at most one at every border), so what their earlier ranges hold is a short table.
+    `spans` are the conversations that stand in several ranges: at most one at every border, so their sums by range are a
+    short table, too.
     """
-    within = Window.partitionBy("conv_id", "part")
     local = frame.withColumns({f"_{n}": c for n, c in sums.items()})
-    totals = local.groupBy("conv_id", "part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
-    spans = totals.groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("conv_id")
+    totals = local.join(F.broadcast(spans), "conv_id", "left_semi").groupBy("conv_id", "part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.join(spans, "conv_id").select("conv_id", "part", *[F.sum(f"_{n}").over(before).alias(f"_before_{n}") for n in sums])
-    upto = within.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = totals.select("conv_id", "part", *[F.sum(f"_{n}").over(before).alias(f"_before_{n}") for n in sums])
+    upto = Window.partitionBy("conv_id", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = local.withColumns({f"_{n}": F.sum(f"_{n}").over(upto) for n in sums})
-    joined = here.join(carried, ["conv_id", "part"], "left")
+    joined = here.join(F.broadcast(carried), ["conv_id", "part"], "left")
     both = {n: F.col(f"_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums}
     return joined.withColumns(both).drop(*[f"_{n}" for n in sums], *[f"_before_{n}" for n in sums])
 
 
-def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rebuilt turns (conv_id, part, at, place, chars and two hashes of role and text), and all conversations (conv_id, first part).
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rebuilt turns (conv_id, part, at, place, chars and two hashes of role and text), all conversations (conv_id, first part), and those that span ranges.
 
     A conversation has the first h = crc32(conv_id) % 6 turns of the conversation whose id is its own less the remainder by
     100 (the remainder has the sign of the id), then its own turns after its first h. Turns are ordered by number, nulls
@@ -73,8 +72,11 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.char_length(text).cast("bigint").alias("chars"), _wide(1, role, text).alias("one"), _wide(2, text, role).alias("two"),
     )
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("head"), F.col("one")]
-    own = keep(_running(_ranged(plain, order).drop("turn", "role", "head"), {"place": F.lit(1).cast("bigint")}))
-    conversations = own.groupBy("conv_id").agg(F.min("part").alias("part")).withColumns({
+    dealt = _ranged(plain, order).drop("turn", "role", "head")
+    extents = keep(dealt.groupBy("conv_id").agg(F.min("part").alias("part"), F.max("part").alias("last_part")))
+    spans = extents.where("part < last_part").select("conv_id")
+    own = keep(_running(dealt, {"place": F.lit(1).cast("bigint")}, spans))
+    conversations = extents.drop("last_part").withColumns({
         "first": F.col("conv_id") - F.col("conv_id") % FAMILY, "h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEAD,
     })
     heads = own.where(F.col("place") < HEAD).select(F.col("conv_id").alias("first"), "place", "chars", "one", "two")
@@ -86,7 +88,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = own.where(F.col("place") > h).join(counts, "conv_id", "left").select(
         "conv_id", "part", "at", (F.col("place") - h + F.coalesce("n_taken", F.lit(0))).alias("place"), "chars", "one", "two"
     )
-    return keep(taken.unionByName(rest)), conversations.select("conv_id", "part")
+    return keep(taken.unionByName(rest)), conversations.select("conv_id", "part"), spans
 
 
 def _ends(sequences: DataFrame) -> DataFrame:
@@ -133,10 +135,10 @@ def trie(turns: DataFrame) -> DataFrame:
     subtree, members but one times the characters of a node's last text) and ends_sha256 (of the members that end there). An
     empty table has no nodes; columns other than conv_id, turn, role and text are not read.
     """
-    rows, conversations = rebuilt(turns)
+    rows, conversations, spans = rebuilt(turns)
     number = f"decimal({_DIGITS},0)"
     sums = {"one": _wide(3, F.col("place"), F.col("one")).cast("decimal(28,0)"), "two": _wide(4, F.col("place"), F.col("two")).cast("decimal(28,0)")}
-    prefixes = _running(rows, sums).select(
+    prefixes = _running(rows, sums, spans).select(
         "conv_id", "part", "at", F.col("place").alias("depth"), "chars", F.col("one").cast(number).alias("one"), F.col("two").cast(number).alias("two")
     )
     prefixes = keep(prefixes)
@@ -166,7 +168,7 @@ def trie(turns: DataFrame) -> DataFrame:
     owned = nodes.select("conv_id", "depth", ((F.col("n_convs") - 1) * F.col("chars")).alias("own"))
     paths = weighted.select("conv_id", "part", "at", *key).join(owned, ["conv_id", "depth"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     whole = paths.groupBy("conv_id").agg(F.sum("own").alias("total"))
-    upto = _running(paths, {"sum": F.col("own")}).join(whole, "conv_id")
+    upto = _running(paths, {"sum": F.col("own")}, spans).join(whole, "conv_id")
     below = upto.groupBy(*key).agg(F.sum(F.col("total") - F.col("sum") + F.col("own")).alias("saved_tokens"))
     linked = _parents(nodes, weighted)
     children = linked.groupBy(*[F.col(f"parent_{c}").alias(c) for c in key]).agg(F.count(F.lit(1)).alias("n_children"))

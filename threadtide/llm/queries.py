@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadtide.llm import chunked, compact, hostarray, idfile, jaccard, lattice, lempelziv, licenses, prefixtrie, tiling, toxicity, urlfilter, viterbi
+from threadtide.llm import align, chunked, compact, hostarray, idfile, jaccard, lattice, lempelziv, licenses, prefixtrie, tiling, toxicity, urlfilter, viterbi
 from threadtide.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from threadtide.llm.shared import scratch
 
@@ -79,3 +79,8 @@ def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_prefix_trie", prefixtrie.oracle())
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), chunked.definition(), chunked.model())
