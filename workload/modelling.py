@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from threadtide.functions.text import STOP_WORDS
-from threadtide.operators import attribution, features, models, splits
+from threadtide.operators import attribution, boosting, features, models, splits
 from threadtide.operators.tfidf import tfidf, vocabulary
 from threadtide.session import scratch_path
 from threadtide.sources.tables import spread
@@ -117,32 +117,45 @@ def _(spark, sf_dir):
     return splits.with_fold(views.activity(spark, sf_dir).select("event_id", "ts"), ["ts", "event_id"], 5).select("event_id", "fold")
 
 
-ROLES = {"categorical": ["l_returnflag", "p_type"], "numeric": ["l_partkey", "l_quantity", "p_size"], "boolean": ["deep"]}
-TREES = {"maxIter": 10, "maxDepth": 4}
+PART_ROLES = {"categorical": ["p_type", "p_brand"], "numeric": ["p_partkey", "p_size"]}
 
 
-def _boosted(spark, sf_dir):
-    rows = model_rows(spark, sf_dir).select("row_id", "p_retailprice", *[c for part in ROLES.values() for c in part]).persist()
-    feats = features.fit_features(rows, **ROLES)
-    vectors = feats.transform(rows).select("row_id", "p_retailprice", "features").persist()
-    return feats, vectors, models.boosted_trees("p_retailprice", **TREES).fit(vectors)
+def _parts(spark, sf_dir):
+    """Parts with their split and folds, and their vectors by the features of the training rows."""
+    rows = splits.split_flag(table(spark, sf_dir, "part"), "p_partkey")
+    rows = splits.with_fold(rows, ["p_partkey"], models.SEARCH_FOLDS).persist()
+    feats = features.fit_features(rows.where(~F.col("is_test")), **PART_ROLES)
+    return feats, feats.transform(rows).select("p_partkey", "p_retailprice", "is_test", "fold", "features").persist()
 
 
-@query("l09_boosted_trees", "SELECT count(*) AS n, TRUE AS beats_mean FROM lineitem JOIN part ON l_partkey = p_partkey")
+def _second_order(spark, sf_dir):
+    feats, vectors = _parts(spark, sf_dir)
+    return feats, vectors, boosting.fit(vectors.where(~F.col("is_test")), "p_retailprice", "p_partkey")
+
+
+@query("l09_boosted_trees", """SELECT 200 AS trees, 6 AS depth, ceil(0.2 * count(*))::BIGINT AS n_test, count(*) - ceil(0.2 * count(*))::BIGINT AS n_train, TRUE AS beats_mean FROM part""")
 def _(spark, sf_dir):
-    _, vectors, model = _boosted(spark, sf_dir)
-    got = models.regression_metrics(model.transform(vectors), "p_retailprice")
-    return got.select("n", (F.col("r2") > 0.8).alias("beats_mean"))
+    _, vectors, model = _second_order(spark, sf_dir)
+    got = models.regression_metrics(model.transform(vectors.where("is_test")), "p_retailprice")
+    cover = int(model.trees[0].cover[0])
+    depth = max(_depth(t) for t in model.trees)
+    return got.select(F.lit(len(model.trees)).alias("trees"), F.lit(depth).alias("depth"), F.col("n").alias("n_test"),
+                      F.lit(cover).cast("bigint").alias("n_train"), (F.col("r2") > 0.5).alias("beats_mean"))
+
+
+def _depth(tree, node=0):
+    return 0 if tree.slot[node] < 0 else 1 + max(_depth(tree, tree.left[node]), _depth(tree, tree.left[node] + 1))
 
 
 @query("l10_random_search")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").withColumn("one", F.lit(1.0))
-    folded = splits.with_fold(rows, ["p_partkey"], models.SEARCH_FOLDS).persist()
-    space = {**models.SEARCH_SPACE, "maxIter": ("int", 2, 5), "maxDepth": ("int", 2, 4)}
-    make = lambda params: models.boosted_trees("p_retailprice", **params)
-    best, found = models.random_search(folded, make, {"numeric": ["p_partkey", "p_size"]}, "p_retailprice", models.draw_params(2, space))
-    return found.select("candidate", "params", "mean_r2", "std_r2", (F.col("params")["maxIter"] == str(best["maxIter"])).alias("is_best"))
+    feats, vectors = _parts(spark, sf_dir)
+    draws = [boosting.BoostParams(**p) for p in models.draw_params(models.SEARCH_DRAWS, boosting.SPACE)]
+    best, found = boosting.search(vectors.where(~F.col("is_test")), "p_retailprice", "p_partkey", draws, "fold")
+    names = list(boosting.SPACE)
+    params = spark.createDataFrame([(i, p == best, *[float(getattr(p, n)) for n in names]) for i, p in enumerate(draws)],
+                                   "candidate int, is_best boolean, " + ", ".join(f"{n} double" for n in names))
+    return params.join(found, "candidate")
 
 
 @query("l11_metrics", """SELECT count(*) AS n, round(avg((l_extendedprice - 2000 * l_quantity) ** 2), 0) AS mse,
@@ -155,8 +168,27 @@ def _(spark, sf_dir):
 
 @query("l12_feature_importance")
 def _(spark, sf_dir):
-    feats, _, model = _boosted(spark, sf_dir)
-    return models.top_features(models.feature_importance(model, feats.names, spark))
+    feats, _, model = _second_order(spark, sf_dir)
+    rows = [(n, float(v)) for n, v in zip(feats.names, model.importance())]
+    return models.top_features(spark.createDataFrame(rows, "name string, importance double"))
+
+
+@query("l12_importance_total", "SELECT 1.0::DOUBLE AS total, count(DISTINCT p_type) + count(DISTINCT p_brand) + 2 AS slots FROM part")
+def _(spark, sf_dir):
+    feats, _, model = _second_order(spark, sf_dir)
+    rows = [(n, float(v)) for n, v in zip(feats.names, model.importance())]
+    return spark.createDataFrame(rows, "name string, importance double").agg(F.round(F.sum("importance"), 6).alias("total"), F.count(F.lit(1)).alias("slots"))
+
+
+ROLES = {"categorical": ["l_returnflag", "p_type"], "numeric": ["l_partkey", "l_quantity", "p_size"], "boolean": ["deep"]}
+TREES = {"maxIter": 10, "maxDepth": 4}
+
+
+def _boosted(spark, sf_dir):
+    rows = model_rows(spark, sf_dir).select("row_id", "p_retailprice", *[c for part in ROLES.values() for c in part]).persist()
+    feats = features.fit_features(rows, **ROLES)
+    vectors = feats.transform(rows).select("row_id", "p_retailprice", "features").persist()
+    return feats, vectors, models.boosted_trees("p_retailprice", **TREES).fit(vectors)
 
 
 @query("l13_linear_attribution", f"""WITH f AS (SELECT {OLS_SQL})
