@@ -42,6 +42,18 @@ def test_the_best_segmentation_is_found():
             assert total(ids, normal) == pytest.approx(best_total(normal), rel=1e-9)
 
 
+def test_stretches_in_step_change_nothing(spark):
+    import pyarrow as pa
+
+    rng, encoder = random.Random(3), viterbi.Encoder(VOCABULARY)
+    texts = [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()][:60]
+    texts += [sample(rng, rng.randrange(0, 90)) for _ in range(200)] + ["", " ", "▁", "\x00", "x" * 300, "漢" * 70, "a\u3000 b"]
+    ids, firsts, same = encoder.table(pa.array(texts))
+    assert same.all() and len(firsts) == len(texts) + 1
+    for text, low, high in zip(texts, firsts, firsts[1:]):
+        assert ids[low:high].tolist() == viterbi.search(VOCABULARY.normalise(text), VOCABULARY)
+
+
 def test_commits_change_nothing_and_keep_the_window_short(monkeypatch):
     rng = random.Random(2)
     words = "".join(sample(rng, 400).split())

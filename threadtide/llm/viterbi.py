@@ -2,8 +2,8 @@
 
 The search keeps scores for one window of the longest piece; ids are committed as soon as the back
 paths of all positions in that window meet in one boundary. Where no piece can cross (before a space
-mark, at a line break) the paths always meet, so the segments between such places are searched once
-and remembered.
+mark, at a line break) the paths always meet, so texts are cut there: each distinct stretch of a table is
+searched once, the short ones of at most a window or so together, position by position in step.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from threadtide.llm import textkit
-from threadtide.llm.pieces import MODEL_FILE, Pieces, load
+from threadtide.llm import chunked, lockstep, textkit
+from threadtide.llm.pieces import LITERAL, MODEL_FILE, SPACE, Pieces, load
 
 #: Segments that one task remembers in each of two generations.
 MEMO = 150_000
@@ -23,6 +24,8 @@ MEMO = 150_000
 CHECK_EVERY = 64
 #: Longer segments are not remembered.
 MEMO_CHARS = 64
+#: Text that is encoded at a time: each distinct stretch of it is searched once.
+TASK_BYTES = 4 << 20
 
 
 def search(text: str, pieces: Pieces) -> list[int]:
@@ -113,12 +116,17 @@ class Encoder:
     """Texts to ids and back; remembers recent segments in two generations of bounded size."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.young, self.old = pieces, {}, {}
+        self.pieces, self.young, self.old, self.trie = pieces, {}, {}, None
+        self.lengths = np.array([len(r) for r in pieces.raw], np.int64)
 
     def encode(self, text: str) -> list[int]:
+        return self.search_all(self.pieces.normalise(text))
+
+    def search_all(self, normal: str) -> list[int]:
+        """ids of a normalised text, segment by segment."""
         out: list[int] = []
         young = self.young
-        for segment in self.pieces.cut.findall(self.pieces.normalise(text)):
+        for segment in self.pieces.cut.findall(normal):
             found = young.get(segment)
             if found is None:
                 found = self.old.get(segment)
@@ -132,6 +140,52 @@ class Encoder:
             out += found
         return out
 
+    def table(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all texts in a row, the first id of each (one more entry at the end), and whether decoding gives each text back.
+
+        Where no piece has a space mark after another character, the distinct stretches of all texts are searched once,
+        all short ones in step.
+        """
+        if any(SPACE in piece.lstrip(SPACE) for piece in self.pieces.ids):
+            rows = [self.encode(t) for t in texts.to_pylist()]
+            same = np.array([self.decode(ids) == t for ids, t in zip(rows, texts.to_pylist())], bool)
+            return np.array([i for ids in rows for i in ids], np.int32), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64))), same
+        cut = chunked.stretches(texts, lead=" ")
+        stretches = cut.distinct.to_pylist()
+        normal = [s.replace(SPACE, LITERAL).replace(" ", SPACE) for s in stretches]
+        if self.trie is None:
+            self.trie = lockstep.Trie(self.pieces)
+        long = np.array([len(s) > MEMO_CHARS for s in normal], bool)
+        short_ids, short_firsts = lockstep.search_many(["" if far else s for s, far in zip(normal, long)], self.pieces, self.trie)
+        sizes = np.diff(short_firsts)
+        rest = {int(i): self.search_all(normal[i]) for i in np.flatnonzero(long)}
+        for i, ids in rest.items():
+            sizes[i] = len(ids)
+        flat = np.empty(int(sizes.sum()), np.int32)
+        mine = np.repeat(long, sizes)
+        flat[~mine] = short_ids
+        flat[mine] = [i for ids in rest.values() for i in ids]
+        firsts = np.concatenate(([0], np.cumsum(sizes)))
+        back = self._gives_back(flat, firsts, cut.distinct)
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)  # the leading space alone is no text
+        codes = cut.codes[~np.repeat(empty, np.diff(cut.rows))]
+        rows = np.concatenate(([0], np.cumsum(np.where(empty, 0, np.diff(cut.rows)))))
+        spread = sizes[codes]
+        before = np.concatenate(([0], np.cumsum(spread)))
+        bad = np.concatenate(([0], np.cumsum(~back[codes])))
+        return flat[np.arange(int(before[-1])) + np.repeat(firsts[codes] - before[:-1], spread)], before[rows], bad[rows[1:]] == bad[rows[:-1]]
+
+    def _gives_back(self, ids: np.ndarray, firsts: np.ndarray, stretches: pa.Array) -> np.ndarray:
+        """Which stretches' ids decode to exactly their bytes."""
+        offsets, data = textkit.string_buffers(stretches)
+        raw = b"".join(map(self.pieces.raw.__getitem__, ids.tolist()))
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))[firsts]
+        same = np.diff(ends) == np.diff(offsets)
+        made = np.frombuffer(raw, np.uint8)[np.repeat(same, np.diff(ends))]
+        given = data[np.repeat(same, np.diff(offsets))]
+        same[np.repeat(np.flatnonzero(same), np.diff(offsets)[same])[made != given]] = False
+        return same
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
@@ -148,18 +202,12 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in textkit.sliced(batches, 200):
-            texts = textkit.plain(batch.column(text), lower=False).to_pylist()
-            rows, same = [], []
-            for value in texts:
-                ids = encoder.encode(value)
-                same.append(encoder.decode(ids) == value)
-                rows.append(np.array(ids, np.int32))
-            sizes = np.array([len(r) for r in rows], np.int32)
-            first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-            fixed = [batch.column(c) for c in (key, *keep)]
-            yield pa.RecordBatch.from_arrays([*fixed, ids, pa.array(sizes), pa.array(same, pa.bool_())], [key, *keep, "ids", "n_tokens", "round_trip"])
+        for table in chunked.gathered(batches, text, TASK_BYTES):
+            flat, firsts, same = encoder.table(textkit.plain(table.column(text), lower=False))
+            ids = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(flat))
+            columns = [*(table.column(c).combine_chunks() for c in (key, *keep)), ids, pa.array(np.diff(firsts).astype(np.int32)), pa.array(same)]
+            made = pa.RecordBatch.from_arrays(columns, [key, *keep, "ids", "n_tokens", "round_trip"])
+            yield from textkit.sliced(iter([made]))
 
     fixed = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in (key, *keep))
     columns = list(dict.fromkeys((key, *keep, text)))
