@@ -25,7 +25,7 @@ CHECK_EVERY = 64
 #: Longer segments are not remembered.
 MEMO_CHARS = 64
 #: Text that is encoded at a time: each distinct stretch of it is searched once.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 3 << 20
 
 
 def search(text: str, pieces: Pieces) -> list[int]:
