@@ -8,8 +8,11 @@ from tests.compare import difference
 from tests.conftest import SF_DIR
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-# Tree attribution works on Arrow batches; nothing else leaves the JVM.
-PYTHON_STEPS = {"l13_tree_attribution", "l14_global_effect", "l15_dependence"}
+# Trees, their attribution and the co-moments of correlation work on Arrow batches; nothing else leaves the JVM.
+PYTHON_STEPS = {
+    "l09_boosted_trees", "l13_tree_attribution", "l14_global_effect", "l15_dependence",
+    "q04_correlation", "q04_correlation_native", "q04_correlation_offset", "q04_correlation_matrix",
+}
 
 
 def plan_of(df) -> str:
