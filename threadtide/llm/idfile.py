@@ -35,7 +35,7 @@ END_ID = 2
 SHARD_BYTES = 32 << 20
 PART_KEYS = 65_536
 #: Text that is encoded at a time; documents whose places and ids that are read at a time (a longer document is read alone).
-TASK_BYTES = 4 << 20
+TASK_BYTES = 6 << 20
 READ_DOCS = 100_000
 READ_IDS = 4 << 20
 
