@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from threadtide.operators import attribution, models
+from threadtide.operators import attribution, leastsquares, models
 from threadtide.operators.features import default_roles, leaking
 from threadtide.operators.splits import split_flag, with_folds
 from threadtide.operators.summary import require_text
@@ -65,7 +65,7 @@ def train(
         cv = models.fold_summary(models.cross_validate(folded, fit, target, "cv_fold", parallelism)).first()
         metrics[name] = {"mse_test": row["mse"], "r2_test": row["r2"], "cv_mean_r2": cv["mean_r2"], "cv_std_r2": cv["std_r2"]}
 
-    linear_fit = models.fit_with_features(models.linear_regression(target), **roles)
+    linear_fit = models.fit_with_features(leastsquares.LeastSquares(labelCol=target), **roles)
     boosted_fit = lambda params: models.fit_with_features(models.boosted_trees(target, seed=seed, **params), **roles)
     linear = linear_fit(train_rows)
     evaluate("linear", linear, linear_fit)

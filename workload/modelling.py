@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from threadtide.functions.text import STOP_WORDS
-from threadtide.operators import attribution, boosting, features, models, splits
+from threadtide.operators import attribution, boosting, features, leastsquares, models, splits
 from threadtide.operators.tfidf import tfidf, vocabulary
 from threadtide.session import scratch_path
 from threadtide.sources.tables import spread
@@ -112,6 +112,36 @@ def _(spark, sf_dir):
                       F.round("mse", 0).alias("mse"), F.round("r2", 8).alias("r2"))
 
 
+# levels of a category and one slope in closed form: the slope within levels, then each level's own mean
+FOLDS_SQL = """WITH r AS (SELECT event_type AS c, user_id AS x, value AS y, ntile(5) OVER (ORDER BY ts, event_id) - 1 AS fold,
+    row_number() OVER (ORDER BY md5(event_id || '|42'), event_id) <= ceil(0.2 * (SELECT count(*) FROM events)) AS is_test FROM events),
+  parts AS (SELECT 'test' AS part, c, x, y, is_test AS held FROM r
+    UNION ALL SELECT 'fold ' || k, c, x, y, fold = k FROM r, (SELECT unnest(range(5)) AS k)),
+  lines AS (SELECT part, c, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM parts WHERE NOT held GROUP BY ALL),
+  slopes AS (SELECT part, sum(sxy) / sum(sxx) AS b FROM lines GROUP BY part),
+  scored AS (SELECT part, y, my + b * (x - mx) AS p FROM parts JOIN lines USING (part, c) JOIN slopes USING (part) WHERE held)
+SELECT part, count(*) AS n, round(avg((y - p) ** 2), 4) AS mse, round(1 - sum((y - p) ** 2) / (count(*) * var_pop(y)), 8) AS r2 FROM scored GROUP BY part"""
+
+
+@query("l07_test_and_folds", FOLDS_SQL)
+def _(spark, sf_dir):
+    # all levels of the category and a doubled column: the columns depend on each other
+    rows = views.activity(spark, sf_dir).select("event_id", "ts", "event_type", "user_id", (2 * F.col("user_id") + 3).alias("doubled"), "value")
+    rows = splits.with_fold(splits.split_flag(rows, "event_id"), ["ts", "event_id"], models.CV_FOLDS)
+    feats = features.fit_features(rows, categorical=["event_type"], numeric=["user_id", "doubled"])
+    vectors = feats.transform(rows).select("value", "fold", "is_test", "features").persist()
+    fits = leastsquares.fold_fits(vectors, "value", "fold", "is_test")
+    out = None
+    for k, fit in fits.items():
+        held = vectors.where(F.col("is_test") if k is None else F.col("fold") == k)
+        scored = held.withColumn("prediction", leastsquares.linear_prediction("features", fit["intercept"], fit["coefficients"]))
+        part = models.regression_metrics(scored, "value").select(
+            F.lit("test" if k is None else f"fold {k}").alias("part"), "n", F.round("mse", 4).alias("mse"), F.round("r2", 8).alias("r2")
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query("l08_contiguous_folds", "SELECT event_id, (ntile(5) OVER (ORDER BY ts, event_id) - 1)::INTEGER AS fold FROM events")
 def _(spark, sf_dir):
     return splits.with_fold(views.activity(spark, sf_dir).select("event_id", "ts"), ["ts", "event_id"], 5).select("event_id", "fold")
