@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadtide.functions import numeric, temporal, text
 from threadtide.functions.lexicon import Lexicon, add_sentiment, add_sentiment_with_table
 from threadtide.functions.text import STOP_WORDS
-from threadtide.operators import threads
+from threadtide.operators import substrings, threads
 from threadtide.operators.lemmas import lemmatize_with_table
 from threadtide.sources.events import event_dimension
 from threadtide.sources.tables import spread
@@ -171,6 +171,35 @@ def _(spark, sf_dir):
     return rows.select("doc_id", text.post_type("title", "body", POST_TYPES).alias("post_type"))
 
 
+def _pieces_sql(places: int) -> str:
+    """Six characters at each of some places of every document, as a table of patterns."""
+    return f"(SELECT DISTINCT substr(text, 25 * k + 7, 6) AS pattern FROM documents, (SELECT unnest(range({places})) AS k) WHERE length(text) >= 25 * k + 12)"
+
+
+def _pieces(rows, places: int):
+    whole = rows.select("text", F.explode(F.array(*[F.lit(25 * k) for k in range(places)])).alias("k")).where(F.length("text") >= F.col("k") + 12)
+    return whole.select(F.substring("text", F.col("k") + 7, F.lit(6)).alias("pattern")).distinct()
+
+
+# about 20,000 patterns at sf0.01
+@query("t06_pattern_table", f"""WITH p AS {_pieces_sql(28)}
+SELECT doc_id, count(*) AS patterns, min(pattern) AS first_pattern FROM documents JOIN p ON contains(text, pattern) GROUP BY doc_id""")
+def _(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    found = substrings.pattern_rows(rows, "doc_id", "text", _pieces(rows, 28))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("patterns"), F.min("pattern").alias("first_pattern"))
+
+
+@query("t07_category_table", f"""WITH p AS (SELECT pattern, right(pattern, 1) AS category, -unicode(right(pattern, 1)) AS place FROM {_pieces_sql(6)}),
+  best AS (SELECT doc_id, min(place) AS place FROM documents JOIN p ON contains(text, pattern) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(chr(-place), 'Other') AS post_type FROM documents d LEFT JOIN best USING (doc_id)""")
+def _(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    last = F.right("pattern", F.lit(1))
+    table_ = _pieces(rows, 6).select("pattern", last.alias("category"), (-F.ascii(last)).alias("place"))
+    return substrings.first_category(rows.select("doc_id", "text"), "doc_id", "text", table_).select("doc_id", "post_type")
+
+
 @query("t08_question_mark", "SELECT page_id, contains(url, '?') AS asks FROM pages")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.contains_question("url").alias("asks"))
