@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadtide.functions import temporal
-from threadtide.operators import correlation, distribution, hypothesis, summary, threads
+from threadtide.operators import bootstrap, correlation, distribution, hypothesis, summary, threads
 from threadtide.plans import report as reports
 from threadtide.schema import PERIODS, WEEKDAYS
 from threadtide.sources.events import event_dimension
@@ -219,6 +219,26 @@ def _(spark, sf_dir):
     return rounded(distribution.line_table(views.activity(spark, sf_dir), "user_id", "value", "event_type"))
 
 
+BOUNDS_SQL = ", ".join(repr(s) for s in bootstrap.steps())
+# the same counts: hash of the row's id, mixed with three numbers per replicate, through the steps of Poisson(1)
+BOOTSTRAP_SQL = f"""WITH d AS (SELECT event_type, user_id % 10 AS decile, value, md5(event_id || '|42') AS h FROM events),
+  rows_ AS (SELECT event_type, decile, value, ('0x' || substr(h, 1, 7))::BIGINT AS high, ('0x' || substr(h, 8, 7))::BIGINT AS low FROM d),
+  reps AS (SELECT r, ('0x' || substr(md5('42|a|' || r), 1, 8))::BIGINT % {bootstrap.PRIME} AS a, ('0x' || substr(md5('42|b|' || r), 1, 8))::BIGINT % {bootstrap.PRIME} AS b,
+    ('0x' || substr(md5('42|c|' || r), 1, 8))::BIGINT % {bootstrap.PRIME} AS c FROM (SELECT unnest(range({bootstrap.REPLICATES})) AS r)),
+  drawn AS (SELECT event_type, decile, r, value, len(list_filter([{BOUNDS_SQL}]::DOUBLE[], lambda s: s < u)) AS w
+    FROM (SELECT *, (((high * a + c) % {bootstrap.PRIME} + low * b) % {bootstrap.PRIME}) / {bootstrap.PRIME}::DOUBLE AS u FROM rows_, reps)),
+  means AS (SELECT event_type, decile, r, sum(w * value) / nullif(sum(w), 0) AS m FROM drawn GROUP BY ALL),
+  ends AS (SELECT event_type, decile, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM means GROUP BY ALL)
+SELECT event_type, decile, round(avg(value), 6) AS mean, count(*) AS count, round(any_value(ci_low), 6) AS ci_low, round(any_value(ci_high), 6) AS ci_high
+FROM rows_ JOIN ends USING (event_type, decile) GROUP BY ALL"""
+
+
+@query("h08_bootstrap_interval", BOOTSTRAP_SQL)
+def _(spark, sf_dir):
+    rows = views.activity(spark, sf_dir).withColumn("decile", F.col("user_id") % 10)
+    return rounded(bootstrap.bootstrap_line_table(rows, "decile", "value", "event_type", "event_id"))
+
+
 @query("h09_dual_histogram", f"""SELECT 'l_quantity' AS feature, * FROM ({_histogram_sql("(SELECT * FROM lineitem WHERE l_discount > 0)", "l_quantity", 30)})
 UNION ALL SELECT 'l_tax', * FROM ({_histogram_sql("(SELECT * FROM lineitem WHERE l_discount > 0)", "l_tax", 30)})""")
 def _(spark, sf_dir):
