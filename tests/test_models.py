@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from threadtide.operators import attribution, features, models, splits
+from threadtide.operators import attribution, boosting, features, models, splits
 from threadtide.operators.tfidf import tfidf, vocabulary
 
 
@@ -165,3 +165,60 @@ def test_stump_without_splits(spark):
     model = models.boosted_trees("y", maxIter=1, maxDepth=2).fit(vec)
     out, base = attribution.tree_attribution(vec, model, "id")
     assert out.count() == 0 and base == pytest.approx(2.0)
+
+
+def test_partial_sums_match_the_long_form(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 9) / 3, rng.random(), 1.0, float(rng.random() < 0.2)) for i in range(400)]
+    df = spark.createDataFrame([(*r, r[1] * r[2] - 3 * r[4]) for r in rows], "id int, a double, b double, c double, d double, y double")
+    vec = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(df).repartition(7)
+    second = boosting.fit(vec, "y", "id", boosting.BoostParams(trees=12, depth=4))
+    for model in (second, models.boosted_trees("y", maxIter=3, maxDepth=3).fit(vec)):
+        long, base = attribution.tree_attribution(vec, model, "id")
+        want = {r["slot"]: r for r in attribution.global_effect(long).collect()}
+        got = {r["slot"]: r for r in attribution.tree_effect(vec, model).collect()}
+        assert set(got) == set(want) and len(got) == 3
+        for slot, r in got.items():
+            assert r["mean_abs_shap"] == pytest.approx(want[slot]["mean_abs_shap"])
+            assert (r["direction"], r["n"]) == (want[slot]["direction"], 400)
+        slots = sorted(got)[:2]
+        key = lambda r: (r["slot"], r["bin"])
+        pairs = zip(*(sorted(d.collect(), key=key) for d in (attribution.dependence(long, slots, 7), attribution.tree_dependence(vec, model, slots, 7))), strict=True)
+        for a, b in pairs:
+            assert key(a) == key(b) and a["n"] == b["n"]
+            assert (b["mean_value"], b["mean_shap"]) == (pytest.approx(a["mean_value"]), pytest.approx(a["mean_shap"]))
+        sums = attribution.tree_sums(vec, model, "id").join(model.transform(vec), "id").collect()
+        assert len(sums) == 400 and all(r["base"] == pytest.approx(base) and r["base"] + r["shap"] == pytest.approx(r["prediction"]) for r in sums)
+
+
+def test_second_order_attribution_matches_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.random(), rng.randint(0, 1) * 1.0, rng.random()) for i in range(200)]
+    df = spark.createDataFrame([(*r, r[1] * r[3] * 4 + r[2]) for r in rows], "id int, a double, b double, c double, y double")
+    vec = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = boosting.fit(vec, "y", "id", boosting.BoostParams(trees=3, depth=3))
+    nodes = [
+        {"treeID": n["tree"], "id": n["node"], "leftChild": n["left"] if n["slot"] >= 0 else -1, "rightChild": n["right"], "prediction": n["value"], "rawCount": n["cover"],
+         "split": {"featureIndex": n["slot"], "numCategories": -1, "leftCategoriesOrThreshold": [n["threshold"]]}}
+        for n in model.nodes()
+    ]
+    probe = vec.where("id < 6")
+    out, base = attribution.tree_attribution(probe, model, "id")
+    got = {(r["id"], r["slot"]): r["shap"] for r in out.collect()}
+    for r in probe.collect():
+        phi, mean = brute_force(nodes, [1.0] * 3, list(r["features"].toArray()))
+        assert base == pytest.approx(model.base + mean)
+        assert [got.get((r["id"], s), 0.0) for s in range(3)] == pytest.approx(phi)
+
+
+def test_partial_sums_without_rows_or_splits(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 2.0)], "id int, a double, y double")
+    vec = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    flat = boosting.fit(vec, "y", "id", boosting.BoostParams(trees=1))
+    assert attribution.tree_effect(vec, flat).count() == attribution.tree_dependence(vec, flat, [0]).count() == 0
+    assert [(r["base"], r["shap"]) for r in attribution.tree_sums(vec, flat, "id").collect()] == [(2.0, 0.0)] * 2
+    split = boosting.fit(vec.withColumn("y", F.col("a")), "y", "id", boosting.BoostParams(trees=1))
+    none = vec.where("id > 9")
+    assert attribution.tree_effect(none, split).count() == attribution.tree_dependence(none, split, [0]).count() == 0
+    one = attribution.tree_effect(vec.where("id = 1"), split).first()
+    assert (one["n"], one["direction"]) == (1, None)

@@ -10,7 +10,7 @@ from tests.conftest import SF_DIR
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 # Trees, their attribution, the co-moments of correlation and bootstrap replicates work on Arrow batches; nothing else leaves the JVM.
 PYTHON_STEPS = {
-    "l09_boosted_trees", "l13_tree_attribution", "l14_global_effect", "l15_dependence", "h08_bootstrap_interval",
+    "l09_boosted_trees", "l13_tree_attribution", "l14_global_effect", "l14_effect_total", "l15_dependence", "l15_dependence_bins", "h08_bootstrap_interval",
     "q04_correlation", "q04_correlation_native", "q04_correlation_offset", "q04_correlation_matrix",
 }
 

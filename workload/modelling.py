@@ -210,17 +210,6 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, importance double").agg(F.round(F.sum("importance"), 6).alias("total"), F.count(F.lit(1)).alias("slots"))
 
 
-ROLES = {"categorical": ["l_returnflag", "p_type"], "numeric": ["l_partkey", "l_quantity", "p_size"], "boolean": ["deep"]}
-TREES = {"maxIter": 10, "maxDepth": 4}
-
-
-def _boosted(spark, sf_dir):
-    rows = model_rows(spark, sf_dir).select("row_id", "p_retailprice", *[c for part in ROLES.values() for c in part]).persist()
-    feats = features.fit_features(rows, **ROLES)
-    vectors = feats.transform(rows).select("row_id", "p_retailprice", "features").persist()
-    return feats, vectors, models.boosted_trees("p_retailprice", **TREES).fit(vectors)
-
-
 @query("l13_linear_attribution", f"""WITH f AS (SELECT {OLS_SQL})
 SELECT l_orderkey, l_linenumber, l_suppkey, round(b * (l_quantity - avg(l_quantity) OVER ()), 3) AS shap_l_quantity FROM lineitem, f""")
 def _(spark, sf_dir):
@@ -230,29 +219,52 @@ def _(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", F.round("shap_l_quantity", 3).alias("shap_l_quantity"))
 
 
-@query("l13_tree_attribution", "SELECT count(*) AS n, TRUE AS adds_up FROM lineitem JOIN part ON l_partkey = p_partkey")
+TEST_PARTS = """parts AS (SELECT *, row_number() OVER (ORDER BY md5(p_partkey || '|42'), p_partkey) <= ceil(0.2 * (SELECT count(*) FROM part)) AS is_test FROM part),
+  test AS (SELECT * FROM parts WHERE is_test)"""
+
+
+@query("l13_tree_attribution", f"WITH {TEST_PARTS} SELECT p_partkey, TRUE AS adds_up FROM test")
 def _(spark, sf_dir):
-    _, vectors, model = _boosted(spark, sf_dir)
-    values, base = attribution.tree_attribution(vectors, model, "row_id")
-    totals = values.groupBy("row_id").agg(F.sum("shap").alias("s"))
-    predicted = model.transform(vectors).select("row_id", "prediction")
-    gap = F.abs(F.col("s") + F.lit(base) - F.col("prediction"))
-    return totals.join(predicted, "row_id").agg(F.count(F.lit(1)).alias("n"), (F.max(gap) < 1e-6).alias("adds_up"))
+    _, vectors, model = _second_order(spark, sf_dir)
+    test = model.transform(vectors.where("is_test"))
+    sums = attribution.tree_sums(test, model, "p_partkey").join(test.select("p_partkey", "prediction"), "p_partkey")
+    return sums.select("p_partkey", (F.abs(F.col("base") + F.col("shap") - F.col("prediction")) < 1e-6).alias("adds_up"))
 
 
 @query("l14_global_effect")
 def _(spark, sf_dir):
-    _, vectors, model = _boosted(spark, sf_dir)
-    values, _ = attribution.tree_attribution(vectors, model, "row_id")
-    return rounded(attribution.global_effect(values), 4)
+    feats, vectors, model = _second_order(spark, sf_dir)
+    found = attribution.tree_effect(vectors.where("is_test"), model)
+    return rounded(found.join(features.feature_names(spark, feats), "slot"), 4)
+
+
+@query("l14_effect_total", f"WITH {TEST_PARTS} SELECT count(*) AS n, TRUE AS adds_up FROM test")
+def _(spark, sf_dir):
+    _, vectors, model = _second_order(spark, sf_dir)
+    test = vectors.where("is_test")
+    effect = attribution.tree_effect(test, model).agg(F.max("n").alias("n"), F.sum("mean_shap").alias("shap"))
+    mean = model.transform(test).agg(F.avg("prediction")).scalar()
+    base = attribution.tree_sums(test, model, "p_partkey").agg(F.max("base")).scalar()
+    return effect.select("n", (F.abs(F.col("shap") + base - mean) < 1e-6).alias("adds_up"))
 
 
 @query("l15_dependence")
 def _(spark, sf_dir):
-    feats, vectors, model = _boosted(spark, sf_dir)
-    values, _ = attribution.tree_attribution(vectors, model, "row_id")
-    top = [feats.names.index(r["name"]) for r in models.top_features(models.feature_importance(model, feats.names, spark), 2).collect()]
-    return rounded(attribution.dependence(values, top), 4)
+    feats, vectors, model = _second_order(spark, sf_dir)
+    test = vectors.where("is_test")
+    top = attribution.tree_effect(test, model).orderBy(F.desc("mean_abs_shap"), "slot").limit(10).select("slot").collect()
+    found = attribution.tree_dependence(test, model, [r["slot"] for r in top])
+    return rounded(found.join(features.feature_names(spark, feats), "slot"), 4)
+
+
+@query("l15_dependence_bins", f"""WITH {TEST_PARTS},
+  fitted AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM parts WHERE NOT is_test),
+  ends AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM test)
+SELECT least(((p_size - lo) * 20) // (hi - lo), 19)::BIGINT AS bin, round(avg((p_size - m) / s), 6) AS mean_value, count(*) AS n FROM test, fitted, ends GROUP BY 1""")
+def _(spark, sf_dir):
+    feats, vectors, model = _second_order(spark, sf_dir)
+    found = attribution.tree_dependence(vectors.where("is_test"), model, [feats.names.index("num__p_size")])
+    return found.select("bin", F.round("mean_value", 6).alias("mean_value"), "n")
 
 
 @query("l16_apply_pipeline", f"""WITH f AS (SELECT {OLS_SQL})
