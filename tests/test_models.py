@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from threadtide.functions.text import STOP_WORDS
 from threadtide.operators import attribution, boosting, features, models, splits
 from threadtide.operators.tfidf import tfidf, vocabulary
 
@@ -52,6 +53,25 @@ def test_tfidf_by_hand(spark):
     assert [(r["term"], r["cf"]) for r in kept] == [("cat", 4), ("dog", 3)]
 
 
+def test_vocabulary_is_the_same_for_any_number_of_buckets(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = ["all " + " ".join(rng.choices(words, [1 / (i + 1) for i in range(300)], k=rng.randint(0, 30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    cf, rows = {}, {}
+    for i, text in enumerate(texts):
+        kept = [w for w in text.split() if len(w) > 1 and w not in STOP_WORDS]
+        for term in [*kept, *map(" ".join, zip(kept, kept[1:]))]:
+            cf[term] = cf.get(term, 0) + 1
+            rows.setdefault(term, set()).add(i)
+    distinct = {t: len(r) for t, r in rows.items()}
+    for buckets, wanted, pairs in ((1 << 20, 40, 0), (4096, 8, 0), (600, 40, 0), (64, 40, 0), (2048, 5000, 0), (64, 40, 10**6)):
+        got = vocabulary(df, "id", "text", min_df=3, max_df=0.8, max_features=wanted, buckets=buckets, plain=pairs).collect()
+        eligible = [t for t in cf if distinct[t] >= 3 and distinct[t] <= 0.8 * 150]
+        assert [(r["term"], r["cf"]) for r in got] == [(t, cf[t]) for t in sorted(eligible, key=lambda t: (-cf[t], t))[:wanted]]
+    assert vocabulary(df.limit(0), "id", "text").count() == 0
+
+
 def test_feature_text_block_matches_long_form(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("ant bee cow dog the eel of fox".split()) for _ in range(rng.randint(0, 12))) for _ in range(60)]

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadtide.functions.binding import bind
 from threadtide.functions.text import STOP_WORDS
 from threadtide.operators import bounded
+from threadtide.session import scratch_path
 
 MAX_FEATURES = 5000
 MIN_DF = 5
 MAX_DF = 0.8
+#: Hash buckets of the first count, how many times more buckets than wanted terms a round looks into, and
+#: (row, term) pairs up to which all terms are counted at once, since the summary would be no shorter.
+BUCKETS, SPARE, PLAIN = 1 << 20, 4, 20_000_000
+VOCABULARY = "term string, df bigint, cf bigint"
 
 
 def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -52,26 +57,59 @@ def _term_counts(df: DataFrame, row_id: str, text: str, stop_words: Sequence[str
 
 def vocabulary(
     df: DataFrame, row_id: str, text: str, stop_words: Sequence[str] = STOP_WORDS,
-    max_features: int = MAX_FEATURES, min_df: int = MIN_DF, max_df: float = MAX_DF,
+    max_features: int = MAX_FEATURES, min_df: int = MIN_DF, max_df: float = MAX_DF, buckets: int = BUCKETS, plain: int = PLAIN,
 ) -> DataFrame:
     """(term, df, cf, idf) of at most max_features terms: most frequent first, ties by term.
 
-    Hot terms collapse in the map-side partial aggregate.
+    Terms are counted once and persisted (memory and disk) until the vocabulary is known. `buckets` and
+    `plain` choose the way of `_candidates` and do not change the result.
     """
-    return _vocabulary(df, _term_counts(df, row_id, text, stop_words), max_features, min_df, max_df)
-
-
-def _vocabulary(df: DataFrame, counts: DataFrame, max_features: int, min_df: int, max_df: float) -> DataFrame:
-    rows = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        counts
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * rows))
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
-        .withColumn("idf", F.log((1 + rows) / (1 + F.col("df"))) + 1)
-    )
+    counts = _term_counts(df, row_id, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _vocabulary(df, counts, max_features, min_df, max_df, buckets, plain)
+    finally:
+        counts.unpersist()
+
+
+def _vocabulary(df: DataFrame, counts: DataFrame, max_features: int, min_df: int, max_df: float, buckets: int = BUCKETS, plain: int = PLAIN) -> DataFrame:
+    rows = df.count()
+    found = _candidates(counts, max_features, min_df, max_df * rows, buckets, plain)
+    return df.sparkSession.createDataFrame(found.toArrow(), VOCABULARY).withColumn("idf", F.log((1 + rows) / (1 + F.col("df"))) + 1)
+
+
+def _candidates(counts: DataFrame, max_features: int, min_df: int, most: float, buckets: int, plain: int) -> DataFrame:
+    """(term, df, cf) of the max_features most frequent terms that stand in min_df to `most` rows.
+
+    First the occurrences are summed by the term's hash: a bucket's sum is no less than the frequency of any
+    of its terms, and tasks shuffle `buckets` short rows at most, however many terms there are. Then only terms of
+    buckets with a sum of at least `floor` are counted. If max_features of these reach the floor, no other term can
+    be among them; else the floor falls until they do, or every term has been counted. Up to `plain` pairs all
+    terms are counted at once.
+    """
+    def exact(asked: DataFrame) -> DataFrame:
+        counted = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        eligible = counted.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(most)))
+        found = eligible.orderBy(F.desc("cf"), "term").limit(max_features)
+        return counts.sparkSession.createDataFrame(found.toArrow(), VOCABULARY)  # max_features rows at most
+
+    if counts.count() <= plain:
+        return exact(counts)
+    hashed = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    sums = hashed.groupBy("bucket").agg(F.sum("tf").alias("total")).persist(StorageLevel.MEMORY_AND_DISK)
+    rank = SPARE * max_features
+    try:
+        while rank < buckets:
+            ranked = sums.orderBy(F.desc("total")).limit(rank).agg(F.min("total").alias("floor"), F.count(F.lit(1)).alias("n")).first()
+            if ranked["n"] < rank or ranked["floor"] <= min_df:
+                break
+            asked = sums.where(F.col("total") >= ranked["floor"]).select("bucket")  # at most `buckets` numbers
+            found = exact(hashed.join(F.broadcast(asked), "bucket", "left_semi"))
+            if found.where(F.col("cf") >= ranked["floor"]).count() == max_features:
+                return found
+            rank *= SPARE
+        return exact(counts)
+    finally:
+        sums.unpersist()
 
 
 def tfidf(
@@ -80,18 +118,24 @@ def tfidf(
 ) -> DataFrame:
     """L2-normalised weights; rows without a vocabulary term have none.
 
-    Terms are counted once and persisted (memory and disk) for the vocabulary and the weights. The
-    vocabulary holds at most max_features rows and is broadcast if these are few; the one shuffle
-    carries each row's own weights to their norm.
+    Terms are counted once and persisted (memory and disk) until the weights of vocabulary terms are
+    written under the checkpoint folder. The vocabulary holds at most max_features rows and is broadcast if
+    these are few; the one shuffle of the result carries each row's own weights to their norm.
     """
+    spark = df.sparkSession
     counts = _term_counts(df, row_id, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = _vocabulary(df, counts, max_features, min_df, max_df).select("term", "idf")
-    weights = (
-        counts
-        .join(F.broadcast(vocab) if max_features <= bounded.MAX_ROWS else vocab, "term")
-        .select(row_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    )
-    per_row = weights.groupBy(row_id).agg(
+    try:
+        vocab = _vocabulary(df, counts, max_features, min_df, max_df).select("term", "idf")
+        weights = (
+            counts
+            .join(F.broadcast(vocab) if max_features <= bounded.MAX_ROWS else vocab, "term")
+            .select(row_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        )
+        path = scratch_path(spark, "weights")
+        weights.write.parquet(path)
+    finally:
+        counts.unpersist()
+    per_row = spark.read.schema(weights.schema).parquet(path).groupBy(row_id).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.collect_list(F.struct("term", "w")).alias("_t")
     )
     return per_row.select(
