@@ -45,6 +45,44 @@ def test_processed_table(spark, tmp_path):
     assert back.count() == 1
 
 
+def test_failed_write_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    halfway = spark.range(0, 40, 1, 4).select(F.when(F.col("id") == 35, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        tables.write_processed(halfway, path)  # no table before: none after
+    assert not tables.has_rows(spark, path) and tables.read_processed(spark, path, halfway.schema).isEmpty()
+    tables.write_processed(spark.range(3), path)
+    with pytest.raises(Exception, match="stop"):
+        tables.write_processed(halfway, path)
+    assert sorted(r["id"] for r in tables.read_processed(spark, path, halfway.schema).collect()) == [0, 1, 2]
+    assert len(list((tmp_path / "t").iterdir())) == 1
+
+
+def test_replaced_table_while_it_is_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_processed(spark.range(3), path)
+    old = tables.read_processed(spark, path, None)
+    (tmp_path / "t" / "version-9999999999-abc").mkdir()  # a writer that was lost, or still writes
+    assert tables.read_processed(spark, path, None).count() == 3
+    tables.write_processed(spark.range(5), path)
+    assert old.count() == 3 and tables.read_processed(spark, path, None).count() == 5
+    tables.write_processed(spark.range(7), path)
+    tables.write_processed(spark.range(8), path)
+    assert tables.read_processed(spark, path, None).count() == 8
+    assert len([p for p in (tmp_path / "t").iterdir() if (p / "_WHOLE").exists()]) == 2
+
+
+def test_second_builder(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def build():
+        tables.load_or_build(spark, path, lambda: spark.range(4))  # another job is done first
+        return spark.range(6)
+
+    assert tables.load_or_build(spark, path, build).count() == 6
+    assert tables.load_or_build(spark, path, build).count() == 6
+
+
 def test_load_or_build(spark, tmp_path):
     path, built = str(tmp_path / "t"), []
 
