@@ -111,3 +111,22 @@ def test_sentiment_of_a_long_text_is_linear(spark):
 def test_lexicon_table(spark):
     table = spark.createDataFrame([("good", 1.5), ("bad", -1.0)], "term string, valence double")
     assert dict(Lexicon.from_table(table).valence) == {"good": 1.5, "bad": -1.0}
+
+
+def test_dictionary_lemmas(spark):
+    from threadtide.operators.lemmas import dictionary_lemmas, lemmatize_with_dictionary
+
+    words = ["cat", "wolf", "man", "city", "bus", "box", "dress", "class", "geese", "goose", "as", "a", None, "cat"]
+    dictionary = spark.createDataFrame([(w, 1) for w in words], "word string, token int")
+    tokens = ["cats", "cats", "wolves", "men", "cities", "bus", "buses", "boxes", "dresses", "geese", "as", "catss", "unknowns", "s", "", None]
+    odd = spark.createDataFrame([("geese", "goose"), ("men", "nobody"), (None, "cat")], "token string, lemma string")
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = {r["token"]: r["lemma"] for r in dictionary_lemmas(frame, dictionary).collect()}
+    assert got == {"cats": "cat", "wolves": "wolf", "men": "man", "cities": "city", "bus": "bus", "buses": "bus", "boxes": "box",
+                   "dresses": "dress", "geese": "geese", "as": "a", "catss": "cat"}
+    got = {r["token"]: r["lemma"] for r in dictionary_lemmas(frame, dictionary, odd).collect()}
+    assert got["geese"] == "geese" and "men" not in got  # equal lengths go by the form; an exception the dictionary lacks
+    texts = spark.createDataFrame([(1, "the cats as men"), (2, ""), (3, None)], "id int, c string")
+    out = lemmatize_with_dictionary(texts, "id", F.split("c", " "), dictionary, "p", odd)
+    assert {r["id"]: r["p"] for r in out.collect()} == {1: "the cat a men", 2: "", 3: ""}
+    assert dictionary_lemmas(frame, dictionary.limit(0)).count() == 0

@@ -8,7 +8,7 @@ from threadtide.functions import numeric, temporal, text
 from threadtide.functions.lexicon import Lexicon, add_sentiment, add_sentiment_with_table
 from threadtide.functions.text import STOP_WORDS
 from threadtide.operators import substrings, threads
-from threadtide.operators.lemmas import lemmatize_with_table
+from threadtide.operators.lemmas import DETACHMENTS, lemmatize_with_dictionary, lemmatize_with_table
 from threadtide.sources.events import event_dimension
 from threadtide.sources.tables import spread
 from workload import views
@@ -117,6 +117,28 @@ SELECT doc_id, CASE WHEN p + n + u > 0 THEN round(n / (p + n + u), 3) ELSE 0 END
   round(s / sqrt(s * s + 15), 4) AS compound_sentiment FROM shares"""
 
 
+def _detached_sql(source: str, level: int) -> str:
+    """The forms that the noun rules make of the column `form`."""
+    made = ", ".join(f"CASE WHEN ends_with(form, '{end}') THEN left(form, length(form) - {len(end)}) || '{new}' END" for end, new in DETACHMENTS)
+    return f"(SELECT w, f AS form, {level} AS level FROM (SELECT w, unnest([{made}]) AS f FROM {source}) WHERE f <> '')"
+
+
+@query("t02_dictionary_lemmas", f"""WITH tokens AS (SELECT doc_id, unnest(string_split({clean_sql('text')}, ' ')) AS w, generate_subscripts(string_split({clean_sql('text')}, ' '), 1) AS pos FROM documents),
+  dictionary AS (SELECT w FROM tokens GROUP BY w HAVING count(DISTINCT doc_id) > 1),
+  d AS (SELECT DISTINCT w, w AS form FROM tokens), odd AS (SELECT * FROM d WHERE w = 'less'), r AS (SELECT * FROM d WHERE w <> 'less'),
+  f1 AS {_detached_sql('r', 0)}, f2 AS {_detached_sql('f1', 1)}, f3 AS {_detached_sql('f2', 2)},
+  forms AS (SELECT w, form, 0 AS level FROM d UNION ALL SELECT w, 'few', 0 FROM odd UNION ALL SELECT w, form, level FROM f1 UNION ALL SELECT w, form, level FROM f2 UNION ALL SELECT w, form, level FROM f3),
+  best AS (SELECT w, arg_min(form, (level, length(form), form)) AS lemma FROM forms WHERE form IN (SELECT w FROM dictionary) GROUP BY w)
+SELECT doc_id, md5(string_agg(coalesce(lemma, w), ' ' ORDER BY pos)) AS p FROM tokens LEFT JOIN best USING (w) GROUP BY doc_id""")
+def _(spark, sf_dir):
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("c")))
+    words = rows.select("doc_id", F.explode(F.split("c", " ")).alias("word")).distinct()
+    dictionary = words.groupBy("word").count().where("count > 1")
+    exceptions = spark.createDataFrame([("less", "few")], "token string, lemma string")
+    out = lemmatize_with_dictionary(rows, "doc_id", F.split("c", " "), dictionary, "p", exceptions)
+    return out.select("doc_id", F.md5("p").alias("p"))
+
+
 @query("t03_lexicon_sentiment", SENTIMENT_SQL)
 def _(spark, sf_dir):
     cleaned = docs(spark, sf_dir).select("doc_id", text.clean_text("text").alias("c"))
