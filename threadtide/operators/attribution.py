@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadtide.operators.boosting import Boosted
 from threadtide.session import scratch_path
+from threadtide.sources.tables import spread
 
 ATTRIBUTION = "slot int, value double, shap double"
 EFFECT = "slot int, mean_abs_shap double, mean_shap double, direction double, n bigint"
@@ -172,7 +173,7 @@ def _scored(df: DataFrame, ensemble: _Ensemble, columns: Sequence[str], features
         return finish(own, parts())
 
     sliced = VectorSlicer(inputCol=features, outputCol="_used", indices=ensemble.used).transform(df)
-    return sliced.select(*columns, vector_to_array("_used").alias("_x")).mapInArrow(run, schema)
+    return spread(sliced.select(*columns, vector_to_array("_used").alias("_x"))).mapInArrow(run, schema)
 
 
 def tree_attribution(df: DataFrame, model, row_id: str, features: str = "features") -> tuple[DataFrame, float]:
