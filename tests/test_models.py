@@ -242,3 +242,13 @@ def test_partial_sums_without_rows_or_splits(spark):
     assert attribution.tree_effect(none, split).count() == attribution.tree_dependence(none, split, [0]).count() == 0
     one = attribution.tree_effect(vec.where("id = 1"), split).first()
     assert (one["n"], one["direction"]) == (1, None)
+
+
+def test_vocabulary_keeps_no_row_id(spark, monkeypatch):
+    from threadtide.operators import tfidf
+
+    seen, plain = [], tfidf._vocabulary
+    monkeypatch.setattr(tfidf, "_vocabulary", lambda df, counts, *a: seen.append(counts.columns) or plain(df, counts, *a))
+    rows = spark.createDataFrame([(f"word other word{i % 2}",) for i in range(10)], "t string")
+    found = tfidf.vocabulary(rows, "t", "t", max_df=1.0)  # the text as its own id, as the feature block has it
+    assert seen == [["term", "tf"]] and {r["term"]: r["cf"] for r in found.collect()}["word0"] == 5

@@ -61,10 +61,10 @@ def vocabulary(
 ) -> DataFrame:
     """(term, df, cf, idf) of at most max_features terms: most frequent first, ties by term.
 
-    Terms are counted once and persisted (memory and disk) until the vocabulary is known. `buckets` and
-    `plain` choose the way of `_candidates` and do not change the result.
+    Terms are counted once and persisted (memory and disk) until the vocabulary is known, without the row's
+    id, which may be long. `buckets` and `plain` choose the way of `_candidates` and do not change the result.
     """
-    counts = _term_counts(df, row_id, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = _term_counts(df, row_id, text, stop_words).select("term", "tf").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _vocabulary(df, counts, max_features, min_df, max_df, buckets, plain)
     finally:
