@@ -141,3 +141,14 @@ def test_training(spark):
     totals = done.attribution.groupBy("comment_id").agg(F.sum("shap").alias("s")).join(done.test, "comment_id")
     assert totals.count() == 40
     assert totals.where(F.abs(F.col("s") + done.base_value - F.col("prediction")) > 1e-6).count() == 0
+
+
+def test_events_with_the_same_words_share_one_search(spark, monkeypatch):
+    posts = spark.createDataFrame([(f"p{i}", DAY, i, "red car", "") for i in range(6)], "post_id string, post_created_utc timestamp, post_score int, post_title string, selftext string")
+    comments = spark.createDataFrame([(f"p{i}", f"c{i}", DAY, 1) for i in range(6)], "post_id string, comment_id string, comment_created_utc timestamp, comment_score int")
+    windows = event_dimension(spark, [EventWindow(n, DAY - timedelta(days=k), DAY + timedelta(days=k), q) for n, k, q in (("A", 1, "car"), ("B", 2, "car"), ("C", 3, "bus"))])
+    paired, plain = [], threads.pair_with_events
+    monkeypatch.setattr(threads, "pair_with_events", lambda df, events, *a: paired.append(events.count()) or plain(df, events, *a))
+    got = threads.collect_threads(posts, comments, windows, post_limit=4, max_posts=3)
+    assert paired == [2]
+    assert {(r.event_name, r.post_id) for r in got.collect()} == {(e, f"p{i}") for e in "AB" for i in (3, 4, 5)}

@@ -164,12 +164,15 @@ def collect_threads(
 
     Per event: posts holding the query words (best post_limit by score) plus the best posts since
     listing_since, created inside the window; of these the max_posts best by score; of each post
-    the comment_limit best comments. A post may serve several events.
+    the comment_limit best comments. A post may serve several events. The search knows no window, so
+    events with the same words share one search, and posts are paired with distinct queries only.
     """
     best = [F.desc("post_score"), F.asc("post_id")]
     texts = ["post_title", "selftext"]
-    matched = pair_with_events(posts, events, lambda e: matches_query(e["query"], *[F.col(t) for t in texts]))
-    listings = [top_n(matched, ["event_name"], best, post_limit)]
+    queries = events.select("query").distinct()
+    matched = pair_with_events(posts, queries, lambda e: matches_query(e["query"], *[F.col(t) for t in texts]))
+    found = top_n(matched, ["query"], best, post_limit)
+    listings = [found.join(bounded.small_side(events), "query").select(*posts.columns, *events.columns)]
     if listing_since is not None:
         recent = top_since(posts, "post_created_utc", listing_since, "post_score", "post_id", post_limit)
         listings.append(pair_with_events(recent, events))
