@@ -130,3 +130,14 @@ def test_dictionary_lemmas(spark):
     out = lemmatize_with_dictionary(texts, "id", F.split("c", " "), dictionary, "p", odd)
     assert {r["id"]: r["p"] for r in out.collect()} == {1: "the cat a men", 2: "", 3: ""}
     assert dictionary_lemmas(frame, dictionary.limit(0)).count() == 0
+
+
+def test_tokens_of_a_broadcast_lemma_table_are_not_shuffled(spark):
+    from threadtide.operators.lemmas import lemmatize_with_table
+
+    rows = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c")], "id int, t string")
+    lemmas = spark.createDataFrame([("a", "x")], "token string, lemma string")
+    out = lemmatize_with_table(rows, "id", F.split("t", " "), lemmas, "p")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id#") == plan.count("REPARTITION_BY_COL") > 0
+    assert {r.id: r.p for r in out.collect()} == {1: "b x b", 2: "", 3: "c"}

@@ -23,9 +23,12 @@ def lemmatize_with_table(
     """Add the tokens, each replaced by its lemma where the (token, lemma) table has one, joined by a space.
 
     row_id must be unique. Tokens meet the table in a left join (broadcast once its size is
-    checked) and return to their row in their old order; a row without tokens gets ''.
+    checked) and return to their row in their old order; a row without tokens gets ''. With a broadcast
+    table the rows are dealt by their id first, so that whole texts are shuffled and not their tokens.
     """
-    table = bounded.small_side(lemmas.select("token", "lemma").dropDuplicates(["token"]), max_broadcast)
+    local, small = bounded.materialize_small(lemmas.select("token", "lemma").dropDuplicates(["token"]), max_broadcast)
+    table = F.broadcast(local) if small else local
+    df = df.repartition(row_id) if small else df
     spread = df.select(row_id, F.posexplode(tokens).alias("_pos", "token"))
     mapped = spread.join(table, "token", "left").select(
         row_id, F.struct("_pos", F.coalesce("lemma", "token").alias("t")).alias("_t")
