@@ -73,16 +73,18 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         if held is not None:
             yield _row(TaskContext.get().partitionId(), held)
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for i in range(table.num_rows):
-            held = _merged(held, {p: table.column(p)[i].values.to_numpy().reshape(size, size) for p in _PARTS})
-        return pa.Table.from_batches([_row(table.column("node")[0].as_py(), held)])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = _merged(held, {p: batch.column(p)[i].values.to_numpy().reshape(size, size) for p in _PARTS})
+        if held is not None:
+            yield _row(TaskContext.get().partitionId(), held)
 
     numbers = df.select(*[known(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
     total = numbers.mapInArrow(partial, _MOMENTS)
     for nodes in (LEAVES, 1):
-        total = total.withColumn("node", F.col("node") % nodes).groupBy("node").applyInArrow(merge, _MOMENTS)
+        total = total.repartition(F.col("node") % nodes).mapInArrow(merge, _MOMENTS)
     at = F.inline(F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(columns.index(a) * size + columns.index(b)).alias("ab"), F.lit(columns.index(b) * size + columns.index(a)).alias("ba"))
                             for k, (a, b) in enumerate(pairs)]))
     cells = total.select("n", "m2", "c", at).select("pair", *[F.get(p, F.col("ab")).alias(p) for p in ("n", "m2", "c")], F.get("m2", F.col("ba")).alias("other"))
