@@ -52,3 +52,7 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_leak_guard_scores_without_a_second_join(spark):
+    assert "Join" not in plan_of(QUERIES["l17_leak_guard"](spark, SF_DIR))
