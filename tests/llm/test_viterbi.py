@@ -54,6 +54,27 @@ def test_stretches_in_step_change_nothing(spark):
         assert ids[low:high].tolist() == viterbi.search(VOCABULARY.normalise(text), VOCABULARY)
 
 
+def test_blocks_of_segments_bound_the_memory_and_change_nothing():
+    import tracemalloc
+
+    from threadtide.llm import lockstep
+
+    rng, trie = random.Random(4), lockstep.Trie(VOCABULARY)
+    some = ["", *(VOCABULARY.normalise(sample(rng, rng.randrange(0, 12))) for _ in range(300)), "", ""]
+    whole = lockstep.search_many(some, VOCABULARY, trie)
+    for block in (1, 7, 500):
+        for made, wanted in zip(lockstep.search_many(some, VOCABULARY, trie, block=block), whole):
+            assert made.tolist() == wanted.tolist()
+    assert lockstep.search_many([], VOCABULARY, trie)[1].tolist() == [0]
+    many = [f"▁then{i}thing" for i in range(80_000)]  # about 1.2 million characters
+    tracemalloc.start()
+    try:
+        lockstep.search_many(many, VOCABULARY, trie)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_commits_change_nothing_and_keep_the_window_short(monkeypatch):
     rng = random.Random(2)
     words = "".join(sample(rng, 400).split())

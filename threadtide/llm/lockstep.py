@@ -10,6 +10,8 @@ import numpy as np
 from threadtide.llm.pieces import Pieces
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of the segments that are searched in step at a time: their edges take about 300 bytes a character.
+BLOCK_CHARS = 100_000
 
 
 class Trie:
@@ -52,11 +54,21 @@ class Trie:
         return out
 
 
-def search_many(segments: list[str], pieces: Pieces, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+def search_many(segments: list[str], pieces: Pieces, trie: Trie, block: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """ids of the best segmentation of every segment in a row, and the first id of each (one more entry at the end).
 
-    The same segmentations as a search one by one: ties go to the longer last piece.
+    The same segmentations as a search one by one: ties go to the longer last piece. Segments are searched
+    in blocks of about `block` characters, so memory does not grow with their number but by the ids.
     """
+    ends = np.cumsum([len(s) for s in segments], dtype=np.int64)
+    edges = np.unique(np.searchsorted(ends, np.arange(block, int(ends[-1]) if len(ends) else 0, block)) + 1).tolist()
+    found = [_search_block(segments[a:b], pieces, trie) for a, b in zip([0, *edges], [*edges, len(segments)])]
+    sizes = np.concatenate([np.diff(firsts) for _, firsts in found])
+    return np.concatenate([ids for ids, _ in found]), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _search_block(segments: list[str], pieces: Pieces, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """`search_many` of one block."""
     lengths = np.array([len(s) for s in segments], np.int64)
     if not lengths.sum():
         return np.zeros(0, np.int32), np.zeros(len(segments) + 1, np.int64)
