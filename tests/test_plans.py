@@ -152,3 +152,15 @@ def test_events_with_the_same_words_share_one_search(spark, monkeypatch):
     got = threads.collect_threads(posts, comments, windows, post_limit=4, max_posts=3)
     assert paired == [2]
     assert {(r.event_name, r.post_id) for r in got.collect()} == {(e, f"p{i}") for e in "AB" for i in (3, 4, 5)}
+
+
+def test_many_windows_are_dealt_over_all_tasks(spark):
+    rows = spark.range(3000).select("id", F.timestamp_seconds(F.col("id") * 40).alias("at"))
+    length = F.when(F.col("id") % 50 == 0, 20000).when(F.col("id") % 7 == 0, 0).otherwise(1800)
+    windows = rows.where("id % 3 = 0").select(
+        F.col("id").alias("window"), F.col("at").alias("start_ts"), F.timestamp_seconds(F.col("id") * 40 + length).alias("end_ts"), F.lit("").alias("query")
+    )
+    got = threads.assign_events(rows, "at", windows).select("window", "id")
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    sizes = {w: 20000 if w % 50 == 0 else 0 if w % 7 == 0 else 1800 for w in range(0, 3000, 3)}
+    assert sorted(map(tuple, got.collect())) == [(w, i) for w in sizes for i in range(w, min(3000, w + sizes[w] // 40 + 1))]
