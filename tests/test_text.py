@@ -141,3 +141,18 @@ def test_tokens_of_a_broadcast_lemma_table_are_not_shuffled(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(id#") == plan.count("REPARTITION_BY_COL") > 0
     assert {r.id: r.p for r in out.collect()} == {1: "b x b", 2: "", 3: "c"}
+
+
+def test_terms_of_a_large_table_that_occur_are_looked_up_in_the_row(spark, monkeypatch):
+    from threadtide.functions import lexicon
+
+    texts = spark.createDataFrame([("great not great thing", 1), ("", 2), (None, 3), ("awful very great", 4), ("filler7 x", 5)], "body string, id int")
+    filler = spark.range(60_000).select(F.concat(F.lit("filler"), "id").alias("term"), F.lit(1.0).alias("valence"))
+    terms = spark.createDataFrame([("great", 3.0), ("great", 1.0), ("awful", -2.0), ("very", 9.0), ("thing", None)], "term string, valence double").unionAll(filler)
+    made = lexicon.add_sentiment_with_table(texts, "id", "body", terms)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert made.columns[:2] == ["id", "body"] and "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(lexicon, "MAX_TERMS", 1)
+    joined = lexicon.add_sentiment_with_table(texts, "id", "body", terms)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, joined.collect()))

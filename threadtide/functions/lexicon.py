@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadtide.functions.binding import bind
 from threadtide.functions.text import SPACES
+from threadtide.operators import bounded
 
 # Constants of the published rules.
 BOOST = 0.293
@@ -36,8 +37,11 @@ BOOSTERS = {
     **dict.fromkeys(
         "almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split(), -1),
 }
-# A lexicon in the plan is a literal; larger tables are joined.
+# A lexicon in the plan is a literal, with one hashed set per distinct valence; larger tables are joined.
 MAX_TERMS = 50_000
+MAX_VALENCES = 200
+# Distinct tokens of a table of texts that may be broadcast to find the terms that occur.
+MAX_TOKENS = 500_000
 
 
 @dataclass(frozen=True)
@@ -132,13 +136,21 @@ def add_sentiment_with_table(
 ) -> DataFrame:
     """The columns of ``add_sentiment`` from a (term, valence) table of any size; row_id must be unique.
 
-    Tokens meet the table in a left join and return to their row in their old order. A term that stands
-    twice counts with its larger valence.
+    A pass over the texts finds the terms that occur in them. Up to MAX_TERMS of these (of at most MAX_VALENCES
+    valences) become the plan's literal lexicon, so that no token leaves its row. Of more terms, tokens meet
+    the table in a left join and return to their row in their old order. A term that stands twice counts with its
+    larger valence.
     """
     rules = Lexicon({}, boosters, negators)
     table = terms.select(F.col(term).alias("_token"), F.col(valence).cast("double").alias("_valence")).where(
         F.col("_valence").isNotNull() & ~F.col("_token").isin(list(boosters))
-    ).groupBy("_token").agg(F.max("_valence").alias("_valence"))
+    )
+    words = df.select(F.explode(F.array_distinct(_tokens(F.col(text)))).alias("_token")).distinct()
+    table = table.join(bounded.small_side(words, MAX_TOKENS), "_token", "left_semi").groupBy("_token").agg(F.max("_valence").alias("_valence"))
+    found = table.limit(MAX_TERMS + 1).toArrow().to_pydict()
+    if len(found["_token"]) <= MAX_TERMS and len(set(found["_valence"])) <= MAX_VALENCES:
+        occurring = Lexicon(dict(zip(found["_token"], found["_valence"])), boosters, negators)
+        return add_sentiment(df.select(row_id, *[c for c in df.columns if c != row_id]), text, occurring)
     spread = df.select(row_id, F.posexplode(_tokens(F.col(text))).alias("_at", "_token")).join(table, "_token", "left")
     rows = spread.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_at", "_token", "_valence"))).alias("_all"))
     empty = F.array().cast("array<struct<_at:int,_token:string,_valence:double>>")
