@@ -154,6 +154,23 @@ def test_events_with_the_same_words_share_one_search(spark, monkeypatch):
     assert {(r.event_name, r.post_id) for r in got.collect()} == {(e, f"p{i}") for e in "AB" for i in (3, 4, 5)}
 
 
+def test_texts_that_all_events_share_are_processed_once(spark, tmp_path):
+    posts, comments, _ = threads_of(spark)
+    path = str(tmp_path / "raw")  # a table, since the optimizer evaluates local rows itself
+    joined = posts.join(comments, "post_id").select(*[f.name for f in RAW.fields])
+    joined.unionAll(joined).write.parquet(path)
+    raw = spark.read.schema(RAW).parquet(path)
+    events = event_dimension(spark, [EventWindow("E1", DAY, DAY + timedelta(days=2)), EventWindow("E2", DAY + timedelta(days=1), DAY + timedelta(days=3))])
+    paired = threads.pair_with_events(raw, events)
+    shared = prepare.enrich(prepare.clean_shared(raw, WORDS), WORDS, events)
+    each = prepare.enrich(prepare.clean(paired, WORDS), WORDS)
+    assert shared.count() > 0 and shared.exceptAll(each).isEmpty() and each.exceptAll(shared).isEmpty()
+    audits = [sorted(a.collect()) for a in (prepare.audit(raw, WORDS, events), prepare.audit(paired, WORDS))]
+    assert audits[0] == audits[1]
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_name" not in plan  # a text is shuffled once, not once an event
+
+
 def test_many_windows_are_dealt_over_all_tasks(spark):
     rows = spark.range(3000).select("id", F.timestamp_seconds(F.col("id") * 40).alias("at"))
     length = F.when(F.col("id") % 50 == 0, 20000).when(F.col("id") % 7 == 0, 0).otherwise(1800)

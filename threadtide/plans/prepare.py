@@ -14,6 +14,10 @@ from threadtide.operators.summary import cleaning_audit
 from threadtide.schema import DELETED_AUTHOR, PROCESSED
 
 
+#: Row features that look at the event's window.
+EVENT_FEATURES = ("time_period", "days_from_event_start")
+
+
 @dataclass(frozen=True)
 class Dictionaries:
     """The word lists of a run; all are the caller's."""
@@ -50,15 +54,35 @@ def clean(raw: DataFrame, words: Dictionaries) -> DataFrame:
     return add_processed_text(selection.drop_deleted(kept, "comment_author"), words)
 
 
-def audit(raw: DataFrame, words: Dictionaries) -> DataFrame:
-    """Rows in and out of every cleaning step."""
-    unique = first_comments(raw)
+def first_shared(raw: DataFrame) -> DataFrame:
+    """`first_comments` of rows that name no event, since every event has them all: one row per comment id."""
+    order = [F.desc("post_score"), F.asc("post_id"), F.asc_nulls_last("comment_created_utc"), F.asc("comment_body")]
+    return threads.first_per_key(raw, ["comment_id"], order)
+
+
+def clean_shared(raw: DataFrame, words: Dictionaries) -> DataFrame:
+    """`clean` of rows that name no event: each text is processed once, however many events follow."""
+    kept = selection.drop_blank(first_shared(raw), "comment_body")
+    return add_processed_text(selection.drop_deleted(kept, "comment_author"), words)
+
+
+def audit(raw: DataFrame, words: Dictionaries, events: DataFrame | None = None) -> DataFrame:
+    """Rows in and out of every cleaning step.
+
+    With ``events`` the raw rows name no event and count once for every event; each text is processed once.
+    """
+    unique = first_comments(raw) if events is None else first_shared(raw)
     steps = [
         ("blank body", ~text.is_blank("comment_body")),
         ("deleted author", ~F.col("comment_author").eqNullSafe(DELETED_AUTHOR)),
         ("empty processed body", text.preprocess_text("comment_body", words.stop_words, words.lemmas) != ""),
     ]
     rows_in = raw.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if events is not None:
+        flags = [F.coalesce(keep, F.lit(False)).alias(f"_{i}") for i, (_, keep) in enumerate(steps)]
+        unique = threads.pair_with_events(unique.select(*flags), events)
+        steps = [(name, F.col(f"_{i}")) for i, (name, _) in enumerate(steps)]
+        rows_in = rows_in * events.agg(F.count(F.lit(1))).scalar()
     return cleaning_audit(unique, steps, before=("duplicate comment", rows_in))
 
 
@@ -87,12 +111,20 @@ def row_features(words: Dictionaries) -> dict[str, Column]:
     }
 
 
-def enrich(cleaned: DataFrame, words: Dictionaries) -> DataFrame:
-    """Cleaned comments with event windows -> the processed schema. Works on streams unchanged."""
+def enrich(cleaned: DataFrame, words: Dictionaries, events: DataFrame | None = None) -> DataFrame:
+    """Cleaned comments with event windows -> the processed schema. Works on streams unchanged.
+
+    With ``events`` the comments name no event: what needs none is computed once per comment, before
+    the comment is paired with every event.
+    """
     scored = cleaned.withColumn("_score", sentiment(F.col("processed_comment_body"), words.lexicon))
     parts = {f"{p}_sentiment": F.col("_score")[p] for p in ("neg", "neu", "pos", "compound")}
     derived = {**parts, **row_features(words)}
-    rows = scored.dropna(subset=["comment_created_utc"]).withColumns(derived)
+    rows = scored.dropna(subset=["comment_created_utc"])
+    if events is not None:
+        own = {name: derived.pop(name) for name in list(derived) if name not in EVENT_FEATURES}
+        rows = threads.pair_with_events(rows.withColumns(own), events)
+    rows = rows.withColumns(derived)
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PROCESSED.fields])
 
 
