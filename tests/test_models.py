@@ -252,3 +252,32 @@ def test_vocabulary_keeps_no_row_id(spark, monkeypatch):
     rows = spark.createDataFrame([(f"word other word{i % 2}",) for i in range(10)], "t string")
     found = tfidf.vocabulary(rows, "t", "t", max_df=1.0)  # the text as its own id, as the feature block has it
     assert seen == [["term", "tf"]] and {r["term"]: r["cf"] for r in found.collect()}["word0"] == 5
+
+
+def test_tfidf_keeps_no_row_for_every_term(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    kept, plain = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: kept.append(df.columns) or plain(df, *a))
+    texts = ["Ünder_score  naïve, x2 naïve\u00a0x2!", "naïve x2 ", " naïve", "", None, "the a b", "日本 naïve\tx2 日本"]
+    ids = [1, 2, 2, 3, 4, 5, None]  # two rows of one id share a norm
+    df = spark.createDataFrame(list(zip(ids, texts)), "id int, text string")
+    got = sorted(((r["id"] or 0, r["term"], r["weight"]) for r in tfidf(df, "id", "text", min_df=2, max_df=0.9).collect()))
+    idf = lambda d: math.log(8 / (1 + d)) + 1
+    n, x, nx = idf(4), idf(3), idf(3)
+    rows = {0: [("naïve", n), ("naïve x2", nx), ("x2", x)], 1: [("naïve", 2 * n), ("naïve x2", 2 * nx), ("x2", 2 * x)], 2: [("naïve", n), ("naïve", n), ("naïve x2", nx), ("x2", x)]}
+    want = [(i, t, w / math.sqrt(sum(v * v for _, v in r))) for i, r in rows.items() for t, w in r]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2] == pytest.approx(w[2]) for g, w in zip(got, want))
+    assert all("term" not in c for c in kept)
+
+
+def test_words_of_a_sliced_array():
+    import pyarrow as pa
+
+    from threadtide.operators import tfidf as module
+
+    found = module.words(pa.array(["cut off", " dog the cat ", "", "ox a dog", ""]).slice(1), ["the"])
+    assert [(found.distinct.to_pylist()[c], r) for c, r in zip(found.codes, found.rows)] == [("dog", 0), ("cat", 0), ("ox", 2), ("dog", 2)]
+    first, second, rows = found.grams()
+    assert found.spelled(first, second).to_pylist() == ["dog", "cat", "ox", "dog", "dog cat", "ox dog"] and list(rows) == [0, 0, 2, 2, 0, 2]
+    assert len(module.words(pa.array(["", " "])).codes) == len(module.words(pa.array([], pa.string())).codes) == 0
