@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -75,3 +78,19 @@ def test_odd_rows(spark, monkeypatch):
     got = align.alignment(frame, chunked.definition(), chunked.model())
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
     assert align.alignment(frame.limit(0), chunked.definition(), chunked.model()).count() == 0
+
+
+def test_the_second_pass_reads_the_ids_of_the_first(spark):
+    first, second = chunked.byte_bpe(chunked.definition(), plain=True), chunked.piece_bpe(chunked.model())
+    texts = pa.array(["some words, some  more", None, "\x00 <s>", "", "some words \u3000 x 漢字", "aaaa" * 200])
+    ids = align.encode(align.cut(texts), first, second)
+    again = align.Encoded.from_bytes(ids.to_bytes())
+    assert all(np.array_equal(getattr(ids, c), getattr(again, c)) for c in ("a", "n_a", "b", "n_b"))
+    with pytest.raises(ValueError):  # the ids of another block, or of its rows in another order
+        align.align(texts[::-1], align.cut(texts[::-1]), again, first.lengths, second.lengths)
+    none = pa.array([None, ""])
+    empty = align.Encoded.from_bytes(align.encode(align.cut(none), first, second).to_bytes())
+    assert not align.align(none, align.cut(none), empty, first.lengths, second.lengths).row_good().any()
+    frame = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plan = align.alignment(frame, chunked.definition(), chunked.model())._jdf.queryExecution().analyzed().toString()
+    assert "ids#" in plan

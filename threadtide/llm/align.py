@@ -5,8 +5,8 @@ stretches there, groups never cross a cut, and a distinct stretch of a block is
 
 Distinct pairs of ids get the slots of minimal perfect hashes, one for each part of the pairs' hash space. Counts are dense
 vectors over a part's slots, made per slice of the blocks, with keys verified, and summed up a tree. A second pass aligns
-the documents again, block by block, with the counts of just the pairs that the block has asked for. So no task holds more
-than one block, one part or one slice, however many documents and pairs there are.
+the documents again, block by block, from the ids that the first one kept, with the counts of just the pairs that the block
+has asked for. So no task holds more than one block, one part or one slice, however many documents and pairs there are.
 """
 
 from __future__ import annotations
@@ -66,22 +66,62 @@ def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64) << 32) | b.astype(np.int64)
 
 
-def align(texts: pa.Array, first: chunked.Coder, second: chunked.Coder) -> Aligned:
-    """Groups and links of space + text of every row; empty texts have no stretch."""
-    filled = pc.fill_null(texts, "")
-    cut = chunked.stretches(filled, lead=" ")
-    empty = pc.equal(pc.binary_length(filled), 0).to_numpy(zero_copy_only=False)
+@dataclass
+class Encoded:
+    """ids of both tokenizers over a block's distinct stretches, and how many each stretch has: none where its bytes differ."""
+
+    a: np.ndarray
+    n_a: np.ndarray
+    b: np.ndarray
+    n_b: np.ndarray
+
+    def to_bytes(self) -> bytes:
+        """Each array with its length, in the narrowest whole numbers that hold it."""
+        out = []
+        for values in (self.a, self.n_a, self.b, self.n_b):
+            kind = np.min_scalar_type(int(values.max(initial=0)))
+            out += [np.array([kind.itemsize, len(values)], np.int64).tobytes(), values.astype(kind).tobytes()]
+        return b"".join(out)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Encoded:
+        found, at = [], 0
+        for _ in range(4):
+            width, n = np.frombuffer(raw, np.int64, 2, at)
+            found.append(np.frombuffer(raw, f"u{width}", n, at + 16).astype(np.int64))
+            at += 16 + int(width * n)
+        return cls(*found)
+
+
+def cut(texts: pa.Array) -> chunked.Stretches:
+    """The stretches of space + text of every row."""
+    return chunked.stretches(pc.fill_null(texts, ""), lead=" ")
+
+
+def encode(cut: chunked.Stretches, first: chunked.Coder, second: chunked.Coder) -> Encoded:
     offsets, data = textkit.string_buffers(cut.distinct)
-    n = len(cut.distinct)
     (a, a_first), (b, b_first) = first.many(cut.distinct), second.many(cut.distinct)
     good = _same_bytes(first, a, a_first, offsets, data) & _same_bytes(second, b, b_first, offsets, data)
-    keep_a, keep_b = np.repeat(good, np.diff(a_first)), np.repeat(good, np.diff(b_first))
-    n_a, n_b = np.where(good, np.diff(a_first), 0), np.where(good, np.diff(b_first), 0)
-    a, b = a[keep_a], b[keep_b]
+    n_a, n_b = np.diff(a_first), np.diff(b_first)
+    return Encoded(a[np.repeat(good, n_a)], np.where(good, n_a, 0), b[np.repeat(good, n_b)], np.where(good, n_b, 0))
+
+
+def align(texts: pa.Array, cut: chunked.Stretches, ids: Encoded, first: np.ndarray, second: np.ndarray) -> Aligned:
+    """Groups and links of space + text of every row, with the byte lengths of both tokenizers' ids; empty texts have no stretch."""
+    empty = pc.equal(pc.binary_length(pc.fill_null(texts, "")), 0).to_numpy(zero_copy_only=False)
+    offsets, _ = textkit.string_buffers(cut.distinct)
+    n = len(cut.distinct)
+    a, b, n_a, n_b = ids.a, ids.b, ids.n_a, ids.n_b
+    good = n_a > 0
     lengths = np.where(good, np.diff(offsets), 0)
-    a_ends, b_ends = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-    borders = a_ends[_among(a_ends, b_ends)]  # ends of groups in the bytes of all good stretches
+    a_ends, b_ends = np.cumsum(first[a]), np.cumsum(second[b])
     stretch_ends = np.cumsum(lengths)
+    for ends, counts in ((a_ends, n_a), (b_ends, n_b)):
+        if len(counts) != n or not np.array_equal(np.append(0, ends)[np.cumsum(counts)], stretch_ends):
+            raise ValueError("the ids are not those of the block's stretches")
+    marked = np.zeros(int(lengths.sum()) + 1, bool)
+    marked[b_ends] = True
+    borders = a_ends[marked[a_ends]]  # ends of groups in the bytes of all good stretches
     n_groups = np.diff(np.searchsorted(borders, stretch_ends, "right"), prepend=0)
     group_a, group_b = np.searchsorted(borders, a_ends), np.searchsorted(borders, b_ends)
     group_stretch = np.searchsorted(stretch_ends, borders)
@@ -205,6 +245,7 @@ def alignment(frame: DataFrame, definition: str, model: bytes, key: str = "doc_i
     spark = frame.sparkSession
     textkit.limit_batches(spark)
     shared = spark.sparkContext.broadcast((definition, model))
+    sizes = spark.sparkContext.broadcast([c.lengths for c in (chunked.byte_bpe(definition, plain=True), chunked.piece_bpe(model))])
     docs = frame.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = min(MOST_PARTS, 1 + size // PART_BYTES)
@@ -217,8 +258,11 @@ def alignment(frame: DataFrame, definition: str, model: bytes, key: str = "doc_i
         both, block = coders(), TaskContext.get().partitionId() << 32
         for table in chunked.gathered(batches, "text", BLOCK_BYTES):
             texts = table.column("text").combine_chunks()
-            pairs, counts = row_pairs(align(texts, *both))
+            found = cut(texts)
+            ids = encode(found, *both)
+            pairs, counts = row_pairs(align(texts, found, ids, *sizes.value))
             yield _requests(block, table, None, [], [])
+            yield _kept(block, ids)
             part = part_of(pairs, parts)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -226,7 +270,7 @@ def alignment(frame: DataFrame, definition: str, model: bytes, key: str = "doc_i
             yield _requests(block, None, np.array([p for p, m in enumerate(mine) if len(m)], np.int32), [pairs[m] for m in mine if len(m)], [counts[m] for m in mine if len(m)])
             block += 1
 
-    asked = keep(docs.mapInArrow(ask, "block bigint, doc_id bigint, text string, part int, pairs array<bigint>, counts array<bigint>"))
+    asked = keep(docs.mapInArrow(ask, "block bigint, place int, doc_id bigint, text string, part int, pairs array<bigint>, counts array<bigint>, ids binary"))
     requests = asked.where("part is not null").select("block", "part", (F.pmod(F.xxhash64("block"), F.lit(slices))).cast("int").alias("slice"), "pairs", "counts")
 
     def build(table: pa.Table) -> pa.Table:
@@ -289,23 +333,21 @@ def alignment(frame: DataFrame, definition: str, model: bytes, key: str = "doc_i
     answers = requests.select("block", "part", "slice", "pairs").groupBy("part", "slice").cogroup(held.groupBy("part", "slice")).applyInArrow(answer, ANSWER)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = align(left.column("text").combine_chunks(), *coders_())
+        held = pc.is_valid(left.column("ids"))
+        ids = Encoded.from_bytes(left.filter(held).column("ids")[0].as_py())  # a block has one such row
+        left = left.filter(pc.invert(held)).sort_by("place")  # the order of the rows gives the stretches their numbers
+        texts = left.column("text").combine_chunks()
+        block = align(texts, cut(texts), ids, *sizes.value)
         pairs, counts, best = (_flat(right, c) for c in ("pairs", "counts", "best"))
         order = np.argsort(pairs)
         columns = results(block, pairs[order], counts[order], best[order].astype(np.int64))
         return pa.table({"doc_id": left.column("doc_id"), **{n: pa.array(v) for n, v in columns.items()}})
 
-    made: list = []
-
-    def coders_():
-        if not made:
-            made.append(coders())
-        return made[0]
-
-    texts = asked.where("part is null").select("block", "doc_id", "text")
+    texts = asked.where("part is null").select("block", "place", "doc_id", "text", "ids")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, RESULT)
 
 
+REQUEST = ["block", "place", "doc_id", "text", "part", "pairs", "counts", "ids"]
 VECTOR = "part int, slice int, vector binary"
 ANSWER = "block bigint, pairs array<bigint>, counts array<bigint>, best array<boolean>"
 
@@ -321,10 +363,17 @@ def _requests(block: int, table: pa.Table | None, part, pairs, counts) -> pa.Rec
     none = lambda kind: pa.nulls(n, kind)
     listed = pa.list_(pa.int64())
     if table is not None:
-        mine = [table.column("doc_id").combine_chunks(), table.column("text").combine_chunks().cast(pa.string()), none(pa.int32()), none(listed), none(listed)]
+        mine = [pa.array(np.arange(n), pa.int32()), table.column("doc_id").combine_chunks(), table.column("text").combine_chunks().cast(pa.string()), none(pa.int32()), none(listed), none(listed)]
     else:
-        mine = [none(pa.int64()), none(pa.string()), pa.array(part, pa.int32()), _lists(pairs, pa.int64()), _lists(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), *mine], ["block", "doc_id", "text", "part", "pairs", "counts"])
+        mine = [none(pa.int32()), none(pa.int64()), none(pa.string()), pa.array(part, pa.int32()), _lists(pairs, pa.int64()), _lists(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), *mine, none(pa.binary())], REQUEST)
+
+
+def _kept(block: int, ids: Encoded) -> pa.RecordBatch:
+    """The row of a block with its ids."""
+    listed = pa.list_(pa.int64())
+    nulls = [pa.nulls(1, kind) for kind in (pa.int32(), pa.int64(), pa.string(), pa.int32(), listed, listed)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *nulls, pa.array([ids.to_bytes()], pa.binary())], REQUEST)
 
 
 def _flat(table: pa.Table, column: str) -> np.ndarray:
