@@ -76,19 +76,23 @@ class Encoded:
     n_b: np.ndarray
 
     def to_bytes(self) -> bytes:
-        """Each array with its length, in the narrowest whole numbers that hold it."""
+        """Each array with its length, in the narrowest whole numbers that hold it: all first bytes, all second ones, compressed."""
         out = []
         for values in (self.a, self.n_a, self.b, self.n_b):
             kind = np.min_scalar_type(int(values.max(initial=0)))
-            out += [np.array([kind.itemsize, len(values)], np.int64).tobytes(), values.astype(kind).tobytes()]
-        return b"".join(out)
+            out += [np.array([kind.itemsize, len(values)], np.int64).tobytes(), values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()]
+        raw = b"".join(out)
+        return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Encoded:
+        size = int(np.frombuffer(raw, np.int64, 1)[0])
+        raw = pa.decompress(raw[8:], size, "zstd", asbytes=True)
         found, at = [], 0
         for _ in range(4):
             width, n = np.frombuffer(raw, np.int64, 2, at)
-            found.append(np.frombuffer(raw, f"u{width}", n, at + 16).astype(np.int64))
+            split = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n)
+            found.append(np.ascontiguousarray(split.T).view(f"u{width}").ravel().astype(np.int64))
             at += 16 + int(width * n)
         return cls(*found)
 
@@ -254,13 +258,15 @@ def alignment(frame: DataFrame, definition: str, model: bytes, key: str = "doc_i
     def coders():
         return chunked.byte_bpe(shared.value[0], plain=True), chunked.piece_bpe(shared.value[1])
 
+    def first_pass(texts: pa.Array, both: tuple) -> tuple[np.ndarray, np.ndarray, bytes]:
+        found = cut(texts)
+        ids = encode(found, *both)
+        return *row_pairs(align(texts, found, ids, *sizes.value)), ids.to_bytes()
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, block = coders(), TaskContext.get().partitionId() << 32
         for table in chunked.gathered(batches, "text", BLOCK_BYTES):
-            texts = table.column("text").combine_chunks()
-            found = cut(texts)
-            ids = encode(found, *both)
-            pairs, counts = row_pairs(align(texts, found, ids, *sizes.value))
+            pairs, counts, ids = first_pass(table.column("text").combine_chunks(), both)
             yield _requests(block, table, None, [], [])
             yield _kept(block, ids)
             part = part_of(pairs, parts)
@@ -369,11 +375,11 @@ def _requests(block: int, table: pa.Table | None, part, pairs, counts) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), *mine, none(pa.binary())], REQUEST)
 
 
-def _kept(block: int, ids: Encoded) -> pa.RecordBatch:
+def _kept(block: int, ids: bytes) -> pa.RecordBatch:
     """The row of a block with its ids."""
     listed = pa.list_(pa.int64())
     nulls = [pa.nulls(1, kind) for kind in (pa.int32(), pa.int64(), pa.string(), pa.int32(), listed, listed)]
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *nulls, pa.array([ids.to_bytes()], pa.binary())], REQUEST)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *nulls, pa.array([ids], pa.binary())], REQUEST)
 
 
 def _flat(table: pa.Table, column: str) -> np.ndarray:
