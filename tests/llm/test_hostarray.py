@@ -114,3 +114,29 @@ def test_copies_and_shared_passages_stay_on_a_large_host(spark, monkeypatch):
         want[i] = alone
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in hostarray.extract(frame).collect()} == want
+
+
+def test_articles_lose_the_boilerplate_of_their_host(spark, monkeypatch):
+    monkeypatch.setattr(hostarray, "CHUNK_WORDS", 300)
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    call, quotation, headline, pages, want = text(12), text(30), text(10), [], {}
+    for i in range(60):
+        a, b, c = text(20), text(9), text(5)
+        if i % 3 == 0:  # the call stands in the article, between its own words
+            html, want[i] = f"<nav>{text(9)}</nav><article><h1>{a}</h1><p>{b} {call} {c}</p><p>{quotation}</p></article>", "\n".join([a, f"{b} {c}", quotation])
+        elif i % 3 == 1:
+            html, want[i] = f"<article><p>{a}</p><p>{quotation}</p></article><div class='promo'>{call}</div>", "\n".join([a, quotation])
+        else:
+            html, want[i] = f"<p>{a}</p><div>{call}</div>", a
+        pages.append((i, f"http://h{i % 2}.org/{i}", html))
+        pages[-1] = (*pages[-1][:2], pages[-1][2] + f"<aside>{headline}</aside>")
+    for i in (60, 61):  # announced by every page
+        pages.append((i, f"http://h{i % 2}.org/{i}", f"<article><h1>{headline}</h1><p>{quotation}</p></article>"))
+        want[i] = f"{headline}\n{quotation}"
+    pages.append((99, "http://alone.org/", f"<article>{call}</article>"))  # another host
+    want[99] = call
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for most in (1000, 0):
+        monkeypatch.setattr(hostarray, "BROADCAST_RUNS", most)
+        assert {r.page_id: r.text for r in hostarray.extract(frame).collect()} == want
